@@ -123,6 +123,28 @@ def with_geodesic_distance(
     )
 
 
+def within_geodesic_distance(
+    df: DataFrame,
+    lat1: str,
+    lon1: str,
+    lat2: str,
+    lon2: str,
+    limit_m: float,
+    out: str = "distancia_m",
+) -> DataFrame:
+    """Rows at most `limit_m` apart, with the distance.
+
+    The row id keeps the filter above the projections: pushed through them, it
+    would be rewritten into one expression that repeats every shared term.
+    """
+    return (
+        with_geodesic_distance(df, lat1, lon1, lat2, lon2, out)
+        .withColumn("_row", F.monotonically_increasing_id())
+        .filter((F.col(out) <= limit_m) & (F.col("_row") >= 0))
+        .drop("_row")
+    )
+
+
 def in_box(lat: Column, lon: Column, centre_lat: float, centre_lon: float, radius_m: float) -> Column:
     """Plain comparisons that keep every point within the radius, for pushdown to the files."""
     half_lat = radius_m / _MIN_METRES_PER_DEGREE

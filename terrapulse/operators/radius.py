@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapulse.constants import BUSINESS, MAIN_CONFIDENCES, PERMIT_SOURCE
-from terrapulse.functions.geodesy import in_box, with_geodesic_distance
+from terrapulse.functions.geodesy import in_box, within_geodesic_distance
 from terrapulse.functions.text import display_address, display_name
 from terrapulse.operators.categories import resolve_category
 from terrapulse.operators.latest import DISPLAY_FIELDS
@@ -21,10 +21,8 @@ def within_radius(locations: DataFrame, lat: float, lon: float, radius_m: float)
         & F.col("lon").isNotNull()
         & in_box(F.col("lat"), F.col("lon"), lat, lon, radius_m)
     ).withColumns({"_lat0": F.lit(float(lat)), "_lon0": F.lit(float(lon))})
-    return (
-        with_geodesic_distance(near, "_lat0", "_lon0", "lat", "lon")
-        .filter(F.col("distancia_m") <= radius_m)
-        .drop("_lat0", "_lon0")
+    return within_geodesic_distance(near, "_lat0", "_lon0", "lat", "lon", radius_m).drop(
+        "_lat0", "_lon0"
     )
 
 
@@ -163,8 +161,6 @@ def radius_join(
         .drop("_centre", "_reach", "_width")
     )
     candidates = placed.join(searched, ["_y", "_x", "_salt"]).drop("_y", "_x", "_salt")
-    # The half-height test is cheap and drops most of the candidates before the formula.
+    # A plain latitude test drops candidates before the formula.
     candidates = candidates.filter(F.abs(F.col("lat") - F.col("ponto_lat")) <= height)
-    return with_geodesic_distance(candidates, "ponto_lat", "ponto_lon", "lat", "lon").filter(
-        F.col("distancia_m") <= radius_m
-    )
+    return within_geodesic_distance(candidates, "ponto_lat", "ponto_lon", "lat", "lon", radius_m)
