@@ -76,6 +76,17 @@ def _event_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.event_counts(_events(spark, sf))
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/terrapulse-{uuid.uuid4()}"
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Writes a derived count table once, as the pipelines do, for requests that read it several times."""
+    path = _scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _flat_events(found: DataFrame) -> DataFrame:
     return shown(
         found.select(
@@ -99,19 +110,19 @@ _RANKING_SQL = f"""SELECT territorio_id, {_indicator_sql()}, posicao, total FROM
 
 @query("growth_ranking", f"WITH {q.RANKING} {_RANKING_SQL} WHERE posicao <= 10")
 def growth_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    openings = v.openings(spark, sf)
+    openings = _stored(v.openings(spark, sf))
     return shown(ranking.growth_ranking(openings, v.last_full_month(openings)))
 
 
 @query("full_ranking", f"WITH {q.RANKING} {_RANKING_SQL}")
 def full_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    openings = v.openings(spark, sf)
+    openings = _stored(v.openings(spark, sf))
     return shown(ranking.growth_ranking(openings, v.last_full_month(openings), limit=None))
 
 
 @query("ranking_without_tail", f"WITH {q.RANKING} {_RANKING_SQL} WHERE posicao <= total - 5")
 def ranking_without_tail(spark: SparkSession, sf: str) -> DataFrame:
-    openings = v.openings(spark, sf)
+    openings = _stored(v.openings(spark, sf))
     return shown(ranking.growth_ranking(openings, v.last_full_month(openings), limit=-5))
 
 
@@ -124,7 +135,7 @@ ranking AS (SELECT *, CAST(row_number() OVER (ORDER BY variacao_pct DESC, territ
 {_RANKING_SQL} WHERE posicao <= 10""",
 )
 def category_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    openings = v.openings(spark, sf)
+    openings = _stored(v.openings(spark, sf))
     return shown(
         ranking.growth_ranking(openings, v.last_full_month(openings), category="BUILDING")
     )
@@ -146,7 +157,7 @@ WHERE posicao <= 10 AND f.mes BETWEEN (SELECT ref - INTERVAL 11 MONTH FROM ref)
 def commerce_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """The whole ranking request: default period, names, sparkline (one row per point)."""
     ranked = requests.commerce_ranking(
-        _event_counts(spark, sf), v.openings(spark, sf), v.territories(spark, sf)
+        _stored(_event_counts(spark, sf)), _stored(v.openings(spark, sf)), v.territories(spark, sf)
     )
     points = ranked.select(*[c for c in ranked.columns if c != "serie"], F.inline("serie"))
     return shown(points)
@@ -159,7 +170,7 @@ SELECT territorio_id, CAST(mes AS VARCHAR) AS mes, {_indicator_sql()}, motivo_in
 )
 def monthly_indicators(spark: SparkSession, sf: str) -> DataFrame:
     """Indicators for every territory and month that has events."""
-    event_counts = _event_counts(spark, sf)
+    event_counts = _stored(_event_counts(spark, sf))
     requested = event_counts.select("territorio_id", "mes").filter("territorio_id IS NOT NULL").distinct()
     found = indicators.indicators_for_months(
         requested, v.openings(spark, sf), series.default_period(event_counts).scalar()
@@ -173,7 +184,7 @@ def monthly_indicators(spark: SparkSession, sf: str) -> DataFrame:
 SELECT territorio_id, CAST(mes AS VARCHAR) AS mes, round(valor, 6) AS valor FROM filled""",
 )
 def zero_fill(spark: SparkSession, sf: str) -> DataFrame:
-    openings = v.openings(spark, sf)
+    openings = _stored(v.openings(spark, sf))
     return shown(series.zero_fill(series.opening_series(openings), v.last_full_month(openings)))
 
 
@@ -184,7 +195,7 @@ SELECT territorio_id, CAST(mes AS VARCHAR) AS mes, round(valor, 6) AS valor FROM
 WHERE mes >= (SELECT ref - INTERVAL 11 MONTH FROM ref)""",
 )
 def sparkline(spark: SparkSession, sf: str) -> DataFrame:
-    openings = v.openings(spark, sf)
+    openings = _stored(v.openings(spark, sf))
     return shown(series.sparkline(openings, v.last_full_month(openings)))
 
 
@@ -218,7 +229,7 @@ def series_indicators(spark: SparkSession, sf: str) -> DataFrame:
 SELECT territorio_id, {_indicator_sql()}, motivo_indisponivel FROM indicators""",
 )
 def opening_indicators(spark: SparkSession, sf: str) -> DataFrame:
-    openings = v.openings(spark, sf)
+    openings = _stored(v.openings(spark, sf))
     found = indicators.opening_indicators(openings, v.last_full_month(openings))
     return shown(found.select("territorio_id", *INDICATORS))
 
@@ -228,7 +239,7 @@ def opening_indicators(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {q.BALANCE} SELECT territorio_id, {_indicator_sql()}, motivo_indisponivel FROM balance",
 )
 def balance_indicator(spark: SparkSession, sf: str) -> DataFrame:
-    found = indicators.balance_indicators(_event_counts(spark, sf))
+    found = indicators.balance_indicators(_stored(_event_counts(spark, sf)))
     return shown(found.select("territorio_id", *INDICATORS))
 
 
@@ -274,7 +285,10 @@ LEFT JOIN ranking r USING (territorio_id) WHERE t.territorio_id = '{_SUMMARY}'""
 def territory_summary(spark: SparkSession, sf: str) -> DataFrame:
     return shown(
         requests.territory_summary(
-            _event_counts(spark, sf), v.openings(spark, sf), v.territories(spark, sf), territory=_SUMMARY
+            _stored(_event_counts(spark, sf)),
+            _stored(v.openings(spark, sf)),
+            v.territories(spark, sf),
+            territory=_SUMMARY,
         )
     )
 
@@ -440,7 +454,7 @@ WHERE mes >= m - INTERVAL 11 MONTH GROUP BY territorio_id""",
 )
 def metrics_last_months(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of the preset period of twelve months."""
-    found = _event_counts(spark, sf)
+    found = _stored(_event_counts(spark, sf))
     last = found.agg(F.max("mes")).scalar()
     return counts.metrics_map(found.filter(in_last_months(F.col("mes"), last, 12)))
 
@@ -456,7 +470,7 @@ FROM by_month JOIN month_indicators USING (territorio_id, mes) WHERE territorio_
 def metrics_series(spark: SparkSession, sf: str) -> DataFrame:
     return shown(
         requests.commerce_metrics(
-            _event_counts(spark, sf), v.openings(spark, sf), territory=_SUMMARY
+            _stored(_event_counts(spark, sf)), v.openings(spark, sf), territory=_SUMMARY
         )
     )
 
@@ -471,7 +485,7 @@ FROM by_month LEFT JOIN month_indicators USING (territorio_id, mes)""",
 )
 def metrics_all_series(spark: SparkSession, sf: str) -> DataFrame:
     """The monthly series of every territory in one job."""
-    found = _event_counts(spark, sf)
+    found = _stored(_event_counts(spark, sf))
     joined = requests.with_month_indicators(
         counts.metrics_by_month(found), found, v.openings(spark, sf)
     )
@@ -523,7 +537,7 @@ WHERE territorio_id = '{_SUMMARY}' AND mes = p GROUP BY ALL ORDER BY contagem DE
 )
 def category_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return requests.territory_breakdown(
-        _event_counts(spark, sf), v.openings(spark, sf), v.segments(spark, sf), territory=_SUMMARY
+        _stored(_event_counts(spark, sf)), v.openings(spark, sf), v.segments(spark, sf), territory=_SUMMARY
     )
 
 
@@ -1001,14 +1015,14 @@ def polygon_assembly(spark: SparkSession, sf: str) -> DataFrame:
 
 def _inverse_sql(x: str, y: str) -> tuple[str, str]:
     """Degrees from metres in SQL, by the same published series in other words."""
-    r, (b1, b2, b3), (d1, d2, d3) = geodesy._krueger()
+    r, beta, delta = geodesy._krueger()
     xi, eta = f"(({y} - 10000000.0::DOUBLE) / {0.9996 * r!r}::DOUBLE)", f"(({x} - 500000.0::DOUBLE) / {0.9996 * r!r}::DOUBLE)"
-    terms = ((b1, 2), (b2, 4), (b3, 6))
+    terms = [(b, 2 * j) for j, b in enumerate(beta, start=1)]
     cosh, sinh = "((exp({0}) + exp(-({0}))) / 2)", "((exp({0}) - exp(-({0}))) / 2)"
     xi1 = f"({xi} - " + " - ".join(f"{b!r}::DOUBLE * sin({k} * {xi}) * {cosh.format(f'{k} * {eta}')}" for b, k in terms) + ")"
     eta1 = f"({eta} - " + " - ".join(f"{b!r}::DOUBLE * cos({k} * {xi}) * {sinh.format(f'{k} * {eta}')}" for b, k in terms) + ")"
     chi = f"asin(sin({xi1}) / {cosh.format(eta1)})"
-    phi = f"{chi} + " + " + ".join(f"{d!r}::DOUBLE * sin({k} * {chi})" for d, k in ((d1, 2), (d2, 4), (d3, 6)))
+    phi = f"{chi} + " + " + ".join(f"{d!r}::DOUBLE * sin({k} * {chi})" for d, k in [(d, 2 * j) for j, d in enumerate(delta, start=1)])
     return f"-51.0 + degrees(atan({sinh.format(eta1)} / cos({xi1})))", f"degrees({phi})"
 
 
@@ -1072,10 +1086,6 @@ def territory_features(spark: SparkSession, sf: str) -> DataFrame:
 # ---- sinks: written twice, read back ----------------------------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/terrapulse-{uuid.uuid4()}"
-
-
 @query(
     "append_once",
     f"WITH {q.obs()} SELECT CAST(observado_em AS VARCHAR) AS observado_em, CAST(count(*) AS BIGINT) AS n, "

@@ -164,13 +164,23 @@ def in_box(lat: Column, lon: Column, centre_lat: float, centre_lon: float, radiu
 def _krueger() -> tuple[float, list[float], list[float]]:
     n = GRS80_F / (2 - GRS80_F)
     radius = GRS80_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
-    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    beta = [
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
+        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+        17 * n**3 / 480 - 37 * n**4 / 840,
+        4397 * n**4 / 161280,
+    ]
+    delta = [
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    ]
     return radius, beta, delta
 
 
 def to_lon_lat(easting: Column, northing: Column) -> tuple[Column, Column]:
-    """UTM zone 22 south to degrees (inverse Gauss-Krueger series to third order)."""
+    """UTM zone 22 south to degrees (inverse Gauss-Krueger series to fourth order)."""
     radius, beta, delta = _krueger()
     xi0 = (northing - F.lit(UTM_FALSE_NORTHING)) / F.lit(UTM_SCALE * radius)
     eta0 = (easting - F.lit(UTM_FALSE_EASTING)) / F.lit(UTM_SCALE * radius)

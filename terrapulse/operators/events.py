@@ -47,16 +47,18 @@ def snapshot_pairs(
 ) -> DataFrame:
     """One row per entity seen in either snapshot: `anterior` and `atual`, one of which may be null.
 
-    The meaning of a full outer join, from one scan and one shuffle.
+    Each side reads its own date partition and is shuffled once by entity. An
+    entity has one row per snapshot, so no key is hot.
     """
 
-    def at(day: Column | dt.date | str) -> Column:
-        return F.max(F.when(F.col("observado_em") == as_date(day), _facts()))
+    def at(day: Column | dt.date | str, name: str) -> DataFrame:
+        return of_snapshots(observations, day, source=source).select(
+            "entidade_id", _facts().alias(name)
+        )
 
     return (
-        of_snapshots(observations, previous, current, source=source)
-        .groupBy("entidade_id")
-        .agg(at(previous).alias("anterior"), at(current).alias("atual"))
+        at(previous, "anterior")
+        .join(at(current, "atual"), "entidade_id", "full")
         .withColumn("data_evento", as_date(current))
     )
 

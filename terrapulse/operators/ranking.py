@@ -23,6 +23,10 @@ RANKING_COLUMNS = (
 )
 
 
+# Up to this many ranked rows are numbered in one task.
+_ONE_TASK_ROWS = 10_000
+
+
 def _order() -> list[Column]:
     return [F.desc("variacao_pct"), F.coalesce("territorio_id", F.lit("")).asc()]
 
@@ -36,18 +40,19 @@ def ranked(items: DataFrame, limit: int | None = RANKING_LIMIT) -> DataFrame:
     """Position by relative change, ties by territory, and the total taken before the limit.
 
     A limit of n keeps the first n, a negative limit drops the last ones, and
-    None keeps all. The first n come from a distributed top-n, so the numbering
-    window sees n rows only.
+    None keeps all. A short list comes from a distributed top-n, so the numbering
+    window sees n rows only; a long one is numbered by partitions.
     """
     chosen = eligible(items)
     total = chosen.agg(F.count(F.lit(1))).scalar()
-    if limit is not None and limit >= 0:
+    if limit is not None and 0 <= limit <= _ONE_TASK_ROWS:
         top = chosen.orderBy(*_order()).limit(limit)
         numbered = top.withColumn("posicao", F.row_number().over(Window.orderBy(*_order())))
     else:
         numbered = numbered_by_order(chosen, _order())
         if limit is not None:
-            numbered = numbered.filter(F.col("posicao") <= total + limit)
+            last = F.lit(limit) if limit >= 0 else total + limit
+            numbered = numbered.filter(F.col("posicao") <= last)
     return numbered.withColumn("posicao", F.col("posicao").cast("bigint")).withColumn("total", total)
 
 
