@@ -37,12 +37,13 @@ from terrapulse.operators.normalize import (
     territory_slugs,
     unmatched_names,
 )
+from terrapulse.session import shared_folder
 from terrapulse.sinks import tables
 from terrapulse.sinks.exports import export_geocoder_input
 from terrapulse.sinks.runs import Run, audited
 from terrapulse.sinks.upserts import added, entities_after, locations_after, overwritten
 from terrapulse.sources.geocoders import read_candidates, read_geocoder_results
-from terrapulse.sources.permits import SURPLUS, latest_snapshot, read_permits
+from terrapulse.sources.permits import latest_snapshot, overlong_lines, read_permits
 from terrapulse.sources.reference import (
     category_seed,
     code_category_seed,
@@ -99,19 +100,23 @@ def ingest_permits(
 ) -> tuple[Run, DataFrame]:
     """Loads one snapshot file, the newest by default; also returns the unmatched district names.
 
-    The file is parsed once: entities are taken from the observations just
-    stored, so a run that broke in between is completed by running it again.
+    The file is parsed once, into a checkpoint that every later step reads; a
+    line with too many fields stops the load before anything is stored. Entities
+    are taken from the observations just stored, so a run that broke in between
+    is completed by running it again.
     """
     spark = warehouse.spark
     with warehouse.audited(PERMIT_SOURCE) as run:
         name = file_name or latest_snapshot(spark, directory)
         day = name[:10]
         slugs = territory_slugs(of_level(warehouse.read("dim_territorio"), NEIGHBOURHOOD))
-        lines, parsed = tables.counted(
-            read_permits(spark, directory, name, multi_line=multi_line),
-            overlong=F.count_if(F.col(SURPLUS).isNotNull()),
-        )
-        normalized, seen = tables.counted(normalize_permits(lines, slugs))
+        shared_folder(spark)
+        lines = read_permits(spark, directory, name, multi_line=multi_line).checkpoint()
+        overlong = overlong_lines(lines).count()
+        if overlong:
+            raise ValueError(f"{overlong} lines of {name} have more fields than the header")
+        normalized = normalize_permits(lines, slugs)
+        run.read = normalized.count()
         fresh = (
             first_lines(normalized)
             .withColumn("criado_em", F.current_timestamp())
@@ -125,7 +130,6 @@ def ingest_permits(
             "observado_em",
             only=[day],
         )
-        run.read, run.failed = seen.get["rows"], parsed.get["overlong"]
         stored = of_snapshots(warehouse.read("observacao_entidade"), day)
         loaded = stored.select(
             "entidade_id",
@@ -185,7 +189,9 @@ def detect_pair(
     """Detects and stores the events between two loaded snapshots; also returns their histogram."""
     with warehouse.audited(EVENT_DETECTION_JOB) as run:
         observations = warehouse.read("observacao_entidade")
-        pairs, seen = tables.counted(snapshot_pairs(observations, previous, current))
+        shared_folder(warehouse.spark)
+        pairs = snapshot_pairs(observations, previous, current).checkpoint()
+        run.read = pairs.count()
         events = to_events(pairs, warehouse.read("cnae_categoria_map")).withColumn(
             "data_ingestao", F.current_timestamp()
         )
@@ -197,7 +203,6 @@ def detect_pair(
             "data_evento",
             only=[current],
         )
-        run.read = seen.get["rows"]
     stored = warehouse.read("fato_evento_territorial")
     of_pair = stored.filter(F.col("data_evento") == F.lit(str(current)).cast("date"))
     return run, event_type_histogram(of_pair)

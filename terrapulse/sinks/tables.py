@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _VERSION = "version-"
@@ -53,13 +53,6 @@ def read_current(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/{versions[-1]}")
 
 
-def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
-    """Counts rows while they pass; read the numbers after the job that writes them."""
-    seen = Observation()
-    named = {"rows": F.count(F.lit(1)), **metrics}
-    return df.observe(seen, *[c.alias(n) for n, c in named.items()]), seen
-
-
 def replace(df: DataFrame, path: str, sort_by: tuple[str, ...] = ()) -> int:
     """Writes the whole table as a new version; returns its number of rows."""
     spark = df.sparkSession
@@ -69,14 +62,12 @@ def replace(df: DataFrame, path: str, sort_by: tuple[str, ...] = ()) -> int:
     target = f"{path}/{_VERSION}{max(used, default=0) + 1:08d}"
     if sort_by:
         df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
-    # Counted last: the sampling job of the range partitioning must not count too.
-    df, seen = counted(df)
     df.write.mode("errorifexists").parquet(target)
     # The version before stays for readers that have just opened it; older ones go.
     fs, where = _files(spark, path)
     for old in versions[:-1]:
         fs.delete(where.suffix(f"/{old}"), True)
-    return seen.get["rows"]
+    return spark.read.parquet(target).count()
 
 
 def append_once(
@@ -90,17 +81,20 @@ def append_once(
     """Appends the rows whose key is not stored yet; returns how many there were.
 
     Rows of `new` have to be unique by key. `only` names the partitions `new`
-    can touch, so the stored side reads no others. Rows are balanced per
-    partition before the write: no swarm of small files, no single huge one.
+    can touch, so the stored side reads no others; rows are counted from the
+    file footers of these. Rows are balanced per partition before the write: no
+    swarm of small files, no single huge one.
     """
-    spark = new.sparkSession
-    stored = read_appended(spark, path, schema)
-    if only is not None:
-        stored = stored.filter(F.col(partition).isin([F.lit(str(v)).cast("date") for v in only]))
-    fresh = new.join(stored.select(*keys), list(keys), "left_anti")
-    fresh, seen = counted(fresh)
+    days = None if only is None else [F.lit(str(v)).cast("date") for v in only]
+
+    def stored() -> DataFrame:
+        rows = read_appended(new.sparkSession, path, schema)
+        return rows if days is None else rows.filter(F.col(partition).isin(days))
+
+    before = stored().count()
+    fresh = new.join(stored().select(*keys), list(keys), "left_anti")
     fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
-    return seen.get["rows"]
+    return stored().count() - before
 
 
 def append(df: DataFrame, path: str) -> None:
