@@ -19,7 +19,12 @@ from terrapulse.constants import (
 )
 from terrapulse.operators import quality
 from terrapulse.operators.counts import event_counts, opening_counts, top_report
-from terrapulse.operators.events import event_type_histogram, snapshot_pairs, to_events
+from terrapulse.operators.events import (
+    all_snapshot_pairs,
+    event_type_histogram,
+    snapshot_pairs,
+    to_events,
+)
 from terrapulse.operators.geocode import (
     confidence_histogram,
     first_pass,
@@ -43,7 +48,12 @@ from terrapulse.sinks.exports import export_geocoder_input
 from terrapulse.sinks.runs import Run, audited
 from terrapulse.sinks.upserts import added, entities_after, locations_after, overwritten
 from terrapulse.sources.geocoders import read_candidates, read_geocoder_results
-from terrapulse.sources.permits import latest_snapshot, overlong_lines, read_permits
+from terrapulse.sources.permits import (
+    latest_snapshot,
+    list_snapshots,
+    overlong_lines,
+    read_permits,
+)
 from terrapulse.sources.reference import (
     category_seed,
     code_category_seed,
@@ -96,25 +106,36 @@ class Warehouse:
 
 
 def ingest_permits(
-    warehouse: Warehouse, directory: str, file_name: str | None = None, *, multi_line: bool = True
+    warehouse: Warehouse,
+    directory: str,
+    file_name: str | None = None,
+    *,
+    every_snapshot: bool = False,
+    multi_line: bool = True,
 ) -> tuple[Run, DataFrame]:
-    """Loads one snapshot file, the newest by default; also returns the unmatched district names.
+    """Loads one snapshot file, the newest by default, or every file of the folder in one job.
 
-    The file is parsed once, into a checkpoint that every later step reads; a
-    line with too many fields stops the load before anything is stored. Entities
-    are taken from the observations just stored, so a run that broke in between
-    is completed by running it again.
+    Also returns the unmatched district names. A file is parsed once, into a
+    checkpoint that every later step reads; a line with too many fields stops
+    the load before anything is stored. Entities are taken from the observations
+    just stored, so a run that broke in between is completed by running it again.
     """
     spark = warehouse.spark
     with warehouse.audited(PERMIT_SOURCE) as run:
-        name = file_name or latest_snapshot(spark, directory)
-        day = name[:10]
+        if every_snapshot:
+            # One row per file of the folder.
+            days = [str(r["observado_em"]) for r in list_snapshots(spark, directory).collect()]
+        else:
+            file_name = file_name or latest_snapshot(spark, directory)
+            days = [file_name[:10]]
         slugs = territory_slugs(of_level(warehouse.read("dim_territorio"), NEIGHBOURHOOD))
         shared_folder(spark)
-        lines = read_permits(spark, directory, name, multi_line=multi_line).checkpoint()
+        lines = read_permits(
+            spark, directory, file_name, every_snapshot=every_snapshot, multi_line=multi_line
+        ).checkpoint()
         overlong = overlong_lines(lines).count()
         if overlong:
-            raise ValueError(f"{overlong} lines of {name} have more fields than the header")
+            raise ValueError(f"{overlong} lines have more fields than the header")
         normalized = normalize_permits(lines, slugs)
         run.read = normalized.count()
         fresh = (
@@ -128,9 +149,9 @@ def ingest_permits(
             schemas.OBSERVATION,
             OBSERVATION_KEY,
             "observado_em",
-            only=[day],
+            only=days,
         )
-        stored = of_snapshots(warehouse.read("observacao_entidade"), day)
+        stored = of_snapshots(warehouse.read("observacao_entidade"), *days)
         loaded = stored.select(
             "entidade_id",
             F.lit(BUSINESS).alias("tipo_entidade"),
@@ -183,31 +204,43 @@ def seed_categories(warehouse: Warehouse) -> tuple[int, int]:
     )
 
 
+def _store_events(
+    warehouse: Warehouse, pairs: DataFrame, days: list[dt.date | str] | None, run: Run
+) -> None:
+    shared_folder(warehouse.spark)
+    pairs = pairs.checkpoint()
+    run.read = pairs.count()
+    events = to_events(pairs, warehouse.read("cnae_categoria_map"))
+    run.written = tables.append_once(
+        events.withColumn("data_ingestao", F.current_timestamp()),
+        warehouse.path("fato_evento_territorial"),
+        schemas.EVENT,
+        EVENT_KEY,
+        "data_evento",
+        only=days,
+    )
+
+
 def detect_pair(
     warehouse: Warehouse, previous: dt.date | str, current: dt.date | str
 ) -> tuple[Run, DataFrame]:
     """Detects and stores the events between two loaded snapshots; also returns their histogram."""
     with warehouse.audited(EVENT_DETECTION_JOB) as run:
         observations = warehouse.read("observacao_entidade")
-        shared_folder(warehouse.spark)
-        pairs = snapshot_pairs(observations, previous, current).checkpoint()
-        run.read = pairs.count()
-        events = to_events(pairs, warehouse.read("cnae_categoria_map")).withColumn(
-            "data_ingestao", F.current_timestamp()
-        )
-        run.written = tables.append_once(
-            events,
-            warehouse.path("fato_evento_territorial"),
-            schemas.EVENT,
-            EVENT_KEY,
-            "data_evento",
-            only=[current],
-        )
+        _store_events(warehouse, snapshot_pairs(observations, previous, current), [current], run)
     stored = warehouse.read("fato_evento_territorial")
     of_pair = stored.filter(F.col("data_evento") == F.lit(str(current)).cast("date"))
     return run, event_type_histogram(of_pair)
 
 
+def detect_every_pair(warehouse: Warehouse) -> tuple[Run, DataFrame]:
+    """Detects and stores the events of all consecutive snapshots in one job; also returns the histogram."""
+    with warehouse.audited(EVENT_DETECTION_JOB) as run:
+        pairs = all_snapshot_pairs(warehouse.read("observacao_entidade"))
+        _store_events(warehouse, pairs, None, run)
+    return run, event_type_histogram(warehouse.read("fato_evento_territorial"))
+
+
 def rebuild_event_counts(warehouse: Warehouse) -> tuple[int, DataFrame]:
     """Recounts all events; also returns the report of the largest groups."""
     counts = event_counts(warehouse.read("fato_evento_territorial"))

@@ -20,7 +20,5 @@ def of_snapshots(
     observations: DataFrame, *dates: Column | dt.date | str, source: str = PERMIT_SOURCE
 ) -> DataFrame:
     """Observations of one source at the given snapshot dates (prunes the date partitions)."""
-    wanted = F.lit(False)
-    for day in dates:
-        wanted = wanted | (F.col("observado_em") == as_date(day))
-    return observations.filter((F.col("fonte_id") == source) & wanted)
+    wanted = [as_date(day) for day in dates]
+    return observations.filter((F.col("fonte_id") == source) & F.col("observado_em").isin(*wanted))

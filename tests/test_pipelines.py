@@ -161,6 +161,20 @@ def test_geocoding(warehouse, folders, spark, tmp_path):
     assert [h["nome"] for h in hits.collect()] == ["EMPRESA 1"] and tuple(totals.first()) == (1, 0)
 
 
+def test_every_snapshot_at_once_equals_one_by_one(warehouse, folders, spark, tmp_path):
+    whole = pipelines.Warehouse(spark, str(tmp_path))
+    pipelines.ingest_activity_codes(whole, folders["codes"])
+    pipelines.seed_categories(whole)
+    pipelines.ingest_territories(whole, folders["features"])
+    run, unmatched = pipelines.ingest_permits(whole, folders["permits"], every_snapshot=True)
+    assert vars(run) == {"read": 8, "written": 7, "failed": 0} and unmatched.count() == 1
+    run, histogram = pipelines.detect_every_pair(whole)
+    assert vars(run) == {"read": 5, "written": 4, "failed": 0} and histogram.count() == 4
+    assert vars(pipelines.detect_every_pair(whole)[0]) == {"read": 5, "written": 0, "failed": 0}
+    for table in ("observacao_entidade", "fato_evento_territorial", "entidade"):
+        assert content(whole.read(table)) == content(warehouse.read(table))
+
+
 def test_failed_run_is_recorded(warehouse, tmp_path):
     with pytest.raises(FileNotFoundError):
         pipelines.ingest_permits(warehouse, str(tmp_path))
