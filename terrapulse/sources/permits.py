@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,6 @@ def csv_options(multi_line: bool = True) -> dict[str, str]:
     }
 
 
-def raw_schema(columns: tuple[str, ...] = PERMIT_COLUMNS) -> str:
-    return strings(*columns, SURPLUS)
-
-
 def snapshot_date(file_name: Column) -> Column:
     """Snapshot month from the file name."""
     return F.to_date(F.substring_index(file_name, NAME_SEPARATOR, 1), "yyyy-MM-dd")
@@ -57,6 +54,11 @@ def latest_snapshot(spark: SparkSession, directory: str) -> str:
     return newest
 
 
+def header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of a file; reads its first line only."""
+    return tuple(spark.read.options(**csv_options()).csv(path).columns)
+
+
 def read_permits(
     spark: SparkSession,
     directory: str,
@@ -64,25 +66,44 @@ def read_permits(
     *,
     every_snapshot: bool = False,
     multi_line: bool = True,
-    columns: tuple[str, ...] = PERMIT_COLUMNS,
 ) -> DataFrame:
-    """Raw lines of the newest snapshot, of the named one, or of all snapshots in one scan.
+    """Raw lines of the newest snapshot, of the named one, or of all snapshots.
 
-    Every column is text. `snapshot_ref`, `observado_em` and the line position
-    come from the file. Quoted fields may hold line breaks, so a file is one
-    task by default; `multi_line=False` splits large files whose fields hold none.
+    Every column is text and is found by its name in the header; a column the
+    file lacks is null. `snapshot_ref`, `observado_em` and the line position come
+    from the file. Quoted fields may hold line breaks, so a file is one task by
+    default; `multi_line=False` splits large files whose fields hold none.
     """
-    if not every_snapshot:
-        file_name = file_name or latest_snapshot(spark, directory)
-        if not re.match(NAME_PATTERN, file_name):
-            raise ValueError(f"not a permit snapshot: {file_name}")
+    if every_snapshot:
+        # One row per file of the folder; files of one header are one scan.
+        paths = [r["path"] for r in list_snapshots(spark, directory).collect()]
+    else:
+        name = file_name or latest_snapshot(spark, directory)
+        if not re.match(NAME_PATTERN, name):
+            raise ValueError(f"not a permit snapshot: {name}")
+        paths = [f"{directory.rstrip('/')}/{name}"]
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        by_header.setdefault(header(spark, path), []).append(path)
+    scans = [_scan(spark, names, files, multi_line) for names, files in by_header.items()]
+    if not scans:
+        raise FileNotFoundError(f"no permit snapshot in {directory}")
+    return reduce(DataFrame.unionByName, scans)
+
+
+def _scan(
+    spark: SparkSession, names: tuple[str, ...], paths: list[str], multi_line: bool
+) -> DataFrame:
     lines = (
-        spark.read.schema(raw_schema(columns))
+        spark.read.schema(strings(*[f"`{n}`" for n in names], SURPLUS))
         .options(**csv_options(multi_line))
-        .option("pathGlobFilter", NAME_GLOB if every_snapshot else file_name)
-        .csv(directory)
+        .csv(paths)
+    )
+    placed = with_file_position(lines)
+    missing = {c: F.lit(None).cast("string") for c in PERMIT_COLUMNS if c not in names}
+    return placed.withColumns(missing).select(
+        *PERMIT_COLUMNS, SURPLUS, "snapshot_ref", "observado_em", "position"
     )
-    return with_file_position(lines)
 
 
 def with_file_position(lines: DataFrame) -> DataFrame:

@@ -89,6 +89,17 @@ def test_all_snapshots_in_one_scan(spark, folder):
     assert [r["NUMERO_DO_ALVARA"] for r in single.collect()] == ["1"]
 
 
+def test_columns_are_found_by_name(spark, folder, tmp_path):
+    other = "2026-06-01_Alvaras_-_Base_de_Dados.csv"
+    (tmp_path / other).write_text("BAIRRO;EXTRA COLUMN;NUMERO_DO_ALVARA\nTATUQUARA;x;77\nCENTRO;y\n", encoding="latin-1")
+    (row,) = normalize.normalize_permits(permits.read_permits(spark, folder, other)).collect()
+    assert row["identificador_fonte"] == "77"
+    assert (row["atributos"]["bairro"], row["atributos"]["cep"]) == ("TATUQUARA", None)
+    found = permits.read_permits(spark, folder, every_snapshot=True)
+    assert {(r["observado_em"].month, r["count"]) for r in found.groupBy("observado_em").count().collect()} == {(6, 2), (7, 1), (8, 6)}
+    assert permits.overlong_lines(found).count() == 1
+
+
 def test_cleaned_table(spark):
     df = spark.createDataFrame([(" a ", "***", 1)], "x string, y string, n int")
     assert tuple(normalize.cleaned(df).first()) == ("a", None, 1)
