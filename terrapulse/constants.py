@@ -76,6 +76,7 @@ SAME_PLACE_M = 50.0
 AGREEMENT_M = 150.0
 SEVERE_M = 1000.0
 MAX_RADIUS_M = 5000
+MIN_ADDRESS_LENGTH = 3
 EXACT_PRECISION = "numero"
 
 # Default sizes of the reports.

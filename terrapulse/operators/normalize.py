@@ -94,6 +94,11 @@ def normalize_permits(
     )
 
 
+def without_number(lines: DataFrame) -> DataFrame:
+    """The raw lines that `normalize_permits` drops."""
+    return lines.filter(clean("NUMERO_DO_ALVARA").isNull())
+
+
 def unmatched_names(observations: DataFrame) -> DataFrame:
     """District names without a territory, with their number of lines, in name order."""
     return (

@@ -11,6 +11,7 @@ from terrapulse.constants import (
     AMBIGUOUS,
     BREAKDOWN_LIMIT,
     MAX_RADIUS_M,
+    MIN_ADDRESS_LENGTH,
     NEEDS_TERRITORY,
     NEIGHBOURHOOD,
     NOT_FOUND,
@@ -18,6 +19,7 @@ from terrapulse.constants import (
     UNKNOWN_NAME,
 )
 from terrapulse.functions.months import as_date
+from terrapulse.functions.text import complete_search_text
 from terrapulse.operators.categories import listed, with_category_name, with_territory_name
 from terrapulse.operators.counts import (
     balance_domain,
@@ -204,6 +206,15 @@ def point_of(candidate_lists: DataFrame) -> tuple[float, float]:
     return found["ponto"]["lat"], found["ponto"]["lon"]
 
 
+def point_of_address(candidate_lists: DataFrame, address: str) -> tuple[float, float]:
+    """Point of a search text among landed lists, which carry the completed text as `endereco`."""
+    if len(address) < MIN_ADDRESS_LENGTH:
+        raise ValueError(f"address needs {MIN_ADDRESS_LENGTH} characters")
+    return point_of(
+        candidate_lists.filter(F.col("endereco") == complete_search_text(F.lit(address)))
+    )
+
+
 def radius_search(
     locations: DataFrame,
     observations: DataFrame,

@@ -83,6 +83,18 @@ def test_search_point(spark):
             requests.point_of(lists(spark, candidates))
 
 
+def test_search_by_address(spark):
+    df = lists(spark, [ONE], [FAR]).withColumn(
+        "endereco", F.when(F.col("entidade_id") == "e0", "R. X, Curitiba, PR, Brasil").otherwise("Praça, CURITIBA")
+    )
+    assert requests.point_of_address(df, "R. X") == (-25.4799, -49.2788)
+    assert requests.point_of_address(df, "Praça, CURITIBA") == (-25.55, -49.35)
+    with pytest.raises(LookupError):
+        requests.point_of_address(df, "R. Y")
+    with pytest.raises(ValueError):
+        requests.point_of_address(df, "R.")
+
+
 def test_first_pass(spark):
     pending = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "entidade_id string")
     results = spark.createDataFrame(

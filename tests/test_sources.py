@@ -58,6 +58,7 @@ def test_newest_snapshot_is_found(spark, folder, tmp_path):
 def test_normalize(spark, folder, slugs):
     lines = permits.read_permits(spark, folder)
     assert lines.count() == 6 and permits.overlong_lines(lines).count() == 1
+    assert [r["NOME_EMPRESARIAL"] for r in normalize.without_number(lines).collect()] == ["LINHA SEM ALVARA"]
     found = normalize.normalize_permits(lines, slugs)
     rows = found.collect()
     assert len(rows) == 5 and {r["observado_em"] for r in rows} == {dt.date(2026, 8, 1)}
