@@ -33,7 +33,7 @@ from terrapulse.operators import (
 )
 from terrapulse.plans import requests
 from terrapulse.schemas import OBSERVATION
-from terrapulse.session import shared_folder
+from terrapulse.session import shared_folder, staged
 from terrapulse.sinks import exports, tables, upserts
 from terrapulse.sources.reference import code_category_seed
 
@@ -80,13 +80,6 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/terrapulse-{uuid.uuid4()}"
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Writes a derived count table once, as the pipelines do, for requests that read it several times."""
-    path = _scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _flat_events(found: DataFrame) -> DataFrame:
     return shown(
         found.select(
@@ -110,19 +103,19 @@ _RANKING_SQL = f"""SELECT territorio_id, {_indicator_sql()}, posicao, total FROM
 
 @query("growth_ranking", f"WITH {q.RANKING} {_RANKING_SQL} WHERE posicao <= 10")
 def growth_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    openings = _stored(v.openings(spark, sf))
+    openings = staged(v.openings(spark, sf))
     return shown(ranking.growth_ranking(openings, v.last_full_month(openings)))
 
 
 @query("full_ranking", f"WITH {q.RANKING} {_RANKING_SQL}")
 def full_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    openings = _stored(v.openings(spark, sf))
+    openings = staged(v.openings(spark, sf))
     return shown(ranking.growth_ranking(openings, v.last_full_month(openings), limit=None))
 
 
 @query("ranking_without_tail", f"WITH {q.RANKING} {_RANKING_SQL} WHERE posicao <= total - 5")
 def ranking_without_tail(spark: SparkSession, sf: str) -> DataFrame:
-    openings = _stored(v.openings(spark, sf))
+    openings = staged(v.openings(spark, sf))
     return shown(ranking.growth_ranking(openings, v.last_full_month(openings), limit=-5))
 
 
@@ -135,7 +128,7 @@ ranking AS (SELECT *, CAST(row_number() OVER (ORDER BY variacao_pct DESC, territ
 {_RANKING_SQL} WHERE posicao <= 10""",
 )
 def category_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    openings = _stored(v.openings(spark, sf))
+    openings = staged(v.openings(spark, sf))
     return shown(
         ranking.growth_ranking(openings, v.last_full_month(openings), category="BUILDING")
     )
@@ -157,7 +150,7 @@ WHERE posicao <= 10 AND f.mes BETWEEN (SELECT ref - INTERVAL 11 MONTH FROM ref)
 def commerce_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """The whole ranking request: default period, names, sparkline (one row per point)."""
     ranked = requests.commerce_ranking(
-        _stored(_event_counts(spark, sf)), _stored(v.openings(spark, sf)), v.territories(spark, sf)
+        staged(_event_counts(spark, sf)), staged(v.openings(spark, sf)), v.territories(spark, sf)
     )
     points = ranked.select(*[c for c in ranked.columns if c != "serie"], F.inline("serie"))
     return shown(points)
@@ -170,7 +163,7 @@ SELECT territorio_id, CAST(mes AS VARCHAR) AS mes, {_indicator_sql()}, motivo_in
 )
 def monthly_indicators(spark: SparkSession, sf: str) -> DataFrame:
     """Indicators for every territory and month that has events."""
-    event_counts = _stored(_event_counts(spark, sf))
+    event_counts = staged(_event_counts(spark, sf))
     requested = event_counts.select("territorio_id", "mes").filter("territorio_id IS NOT NULL").distinct()
     found = indicators.indicators_for_months(
         requested, v.openings(spark, sf), series.default_period(event_counts).scalar()
@@ -184,7 +177,7 @@ def monthly_indicators(spark: SparkSession, sf: str) -> DataFrame:
 SELECT territorio_id, CAST(mes AS VARCHAR) AS mes, round(valor, 6) AS valor FROM filled""",
 )
 def zero_fill(spark: SparkSession, sf: str) -> DataFrame:
-    openings = _stored(v.openings(spark, sf))
+    openings = staged(v.openings(spark, sf))
     return shown(series.zero_fill(series.opening_series(openings), v.last_full_month(openings)))
 
 
@@ -195,7 +188,7 @@ SELECT territorio_id, CAST(mes AS VARCHAR) AS mes, round(valor, 6) AS valor FROM
 WHERE mes >= (SELECT ref - INTERVAL 11 MONTH FROM ref)""",
 )
 def sparkline(spark: SparkSession, sf: str) -> DataFrame:
-    openings = _stored(v.openings(spark, sf))
+    openings = staged(v.openings(spark, sf))
     return shown(series.sparkline(openings, v.last_full_month(openings)))
 
 
@@ -229,7 +222,7 @@ def series_indicators(spark: SparkSession, sf: str) -> DataFrame:
 SELECT territorio_id, {_indicator_sql()}, motivo_indisponivel FROM indicators""",
 )
 def opening_indicators(spark: SparkSession, sf: str) -> DataFrame:
-    openings = _stored(v.openings(spark, sf))
+    openings = staged(v.openings(spark, sf))
     found = indicators.opening_indicators(openings, v.last_full_month(openings))
     return shown(found.select("territorio_id", *INDICATORS))
 
@@ -239,7 +232,7 @@ def opening_indicators(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {q.BALANCE} SELECT territorio_id, {_indicator_sql()}, motivo_indisponivel FROM balance",
 )
 def balance_indicator(spark: SparkSession, sf: str) -> DataFrame:
-    found = indicators.balance_indicators(_stored(_event_counts(spark, sf)))
+    found = indicators.balance_indicators(staged(_event_counts(spark, sf)))
     return shown(found.select("territorio_id", *INDICATORS))
 
 
@@ -285,8 +278,8 @@ LEFT JOIN ranking r USING (territorio_id) WHERE t.territorio_id = '{_SUMMARY}'""
 def territory_summary(spark: SparkSession, sf: str) -> DataFrame:
     return shown(
         requests.territory_summary(
-            _stored(_event_counts(spark, sf)),
-            _stored(v.openings(spark, sf)),
+            staged(_event_counts(spark, sf)),
+            staged(v.openings(spark, sf)),
             v.territories(spark, sf),
             territory=_SUMMARY,
         )
@@ -454,7 +447,7 @@ WHERE mes >= m - INTERVAL 11 MONTH GROUP BY territorio_id""",
 )
 def metrics_last_months(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of the preset period of twelve months."""
-    found = _stored(_event_counts(spark, sf))
+    found = staged(_event_counts(spark, sf))
     last = found.agg(F.max("mes")).scalar()
     return counts.metrics_map(found.filter(in_last_months(F.col("mes"), last, 12)))
 
@@ -470,7 +463,7 @@ FROM by_month JOIN month_indicators USING (territorio_id, mes) WHERE territorio_
 def metrics_series(spark: SparkSession, sf: str) -> DataFrame:
     return shown(
         requests.commerce_metrics(
-            _stored(_event_counts(spark, sf)), v.openings(spark, sf), territory=_SUMMARY
+            staged(_event_counts(spark, sf)), v.openings(spark, sf), territory=_SUMMARY
         )
     )
 
@@ -485,7 +478,7 @@ FROM by_month LEFT JOIN month_indicators USING (territorio_id, mes)""",
 )
 def metrics_all_series(spark: SparkSession, sf: str) -> DataFrame:
     """The monthly series of every territory in one job."""
-    found = _stored(_event_counts(spark, sf))
+    found = staged(_event_counts(spark, sf))
     joined = requests.with_month_indicators(
         counts.metrics_by_month(found), found, v.openings(spark, sf)
     )
@@ -537,7 +530,7 @@ WHERE territorio_id = '{_SUMMARY}' AND mes = p GROUP BY ALL ORDER BY contagem DE
 )
 def category_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return requests.territory_breakdown(
-        _stored(_event_counts(spark, sf)), v.openings(spark, sf), v.segments(spark, sf), territory=_SUMMARY
+        staged(_event_counts(spark, sf)), v.openings(spark, sf), v.segments(spark, sf), territory=_SUMMARY
     )
 
 
@@ -816,12 +809,11 @@ FROM measured WHERE distancia_m <= 500 GROUP BY 1""",
 def radius_join(spark: SparkSession, sf: str) -> DataFrame:
     """Totals around every supplier at once."""
     pairs = radius.radius_join(v.first_locations(spark, sf), v.search_points(spark, sf), 500)
-    totals = radius.radius_totals(pairs, "ponto_id")
-    ends = pairs.groupBy("ponto_id").agg(
+    return pairs.groupBy("ponto_id").agg(
+        *radius.total_columns(),
         F.round(F.min("distancia_m"), 3).alias("menor_distancia_m"),
         F.round(F.max("distancia_m"), 3).alias("maior_distancia_m"),
     )
-    return totals.join(ends, "ponto_id")
 
 
 # ---- permit lines -------------------------------------------------------------------------

@@ -202,7 +202,7 @@ def reproject_ring(ring: Column) -> Column:
 
 def is_clockwise(ring: Column) -> Column:
     """Orientation by the sum over the edges; clockwise rings are outer rings."""
-    edges = F.greatest(F.size(ring) - 1, F.lit(0))
+    edges = F.greatest(F.array_size(ring) - 1, F.lit(0))
     terms = F.zip_with(
         F.slice(ring, 1, edges),
         F.slice(ring, 2, edges),
@@ -217,7 +217,7 @@ def group_rings(rings: Column) -> Column:
     Rings of fewer than four points are dropped first; the first ring left is
     always an outer one. One pass over the array of a row, no shuffle.
     """
-    kept = F.filter(rings, lambda ring: F.size(ring) >= 4)
+    kept = F.filter(rings, lambda ring: F.array_size(ring) >= 4)
     starts = F.filter(
         F.transform(
             kept, lambda ring, i: F.when((i == 0) | is_clockwise(ring), (i + 1).cast("int"))
@@ -227,7 +227,7 @@ def group_rings(rings: Column) -> Column:
     return F.transform(
         starts,
         lambda start, k: F.slice(
-            kept, start, F.coalesce(F.get(starts, k + 1), F.size(kept) + 1) - start
+            kept, start, F.coalesce(F.get(starts, k + 1), F.array_size(kept) + 1) - start
         ),
     )
 
@@ -238,4 +238,4 @@ def to_multipolygon(rings: Column) -> Column:
     Rings that are all too short give an empty array, which validation rejects.
     """
     parts = F.transform(group_rings(rings), lambda part: F.transform(part, reproject_ring))
-    return F.when(F.size(rings) > 0, parts)
+    return F.when(F.array_size(rings) > 0, parts)

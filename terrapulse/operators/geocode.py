@@ -160,7 +160,7 @@ def resolve_candidates(df: DataFrame, candidates: str = "candidates") -> DataFra
     None: not found. One, or a second one close to the first: the first is the
     place. A second one elsewhere: ambiguous, no point.
     """
-    n = F.coalesce(F.size(candidates), F.lit(0))
+    n = F.coalesce(F.array_size(candidates), F.lit(0))
     first, second = F.get(F.col(candidates), F.lit(0)), F.get(F.col(candidates), F.lit(1))
     point = {
         f"_{axis}{i}": c[axis].cast("double")

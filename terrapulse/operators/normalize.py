@@ -65,6 +65,16 @@ def attributes(territory: Column) -> Column:
     return F.struct(*[values[a].alias(a) for a in order])
 
 
+def with_number(lines: DataFrame) -> DataFrame:
+    """The raw lines that have a permit number."""
+    return lines.filter(clean("NUMERO_DO_ALVARA").isNotNull())
+
+
+def without_number(lines: DataFrame) -> DataFrame:
+    """The raw lines that `normalize_permits` drops."""
+    return lines.filter(clean("NUMERO_DO_ALVARA").isNull())
+
+
 def normalize_permits(
     lines: DataFrame, slugs: DataFrame | None = None, source: str = PERMIT_SOURCE
 ) -> DataFrame:
@@ -73,9 +83,9 @@ def normalize_permits(
     `lines` are raw lines with `snapshot_ref`, `observado_em` and `position`.
     Without `slugs` no territory is resolved.
     """
-    kept = lines.withColumns(
+    kept = with_number(lines).withColumns(
         {"numero_do_alvara": clean("NUMERO_DO_ALVARA"), "bairro": clean("BAIRRO")}
-    ).filter(F.col("numero_do_alvara").isNotNull())
+    )
     if slugs is None:
         kept = kept.withColumn("territorio_id", F.lit(None).cast("string"))
     else:
@@ -94,11 +104,6 @@ def normalize_permits(
     )
 
 
-def without_number(lines: DataFrame) -> DataFrame:
-    """The raw lines that `normalize_permits` drops."""
-    return lines.filter(clean("NUMERO_DO_ALVARA").isNull())
-
-
 def unmatched_names(observations: DataFrame) -> DataFrame:
     """District names without a territory, with their number of lines, in name order."""
     return (

@@ -38,7 +38,7 @@ def event_rules() -> Rules:
         "entity_type": _missing("entity_type"),
         "event_type": _outside("event_type", EVENT_TYPES),
         "confianca": _outside("confianca", CONFIDENCES),
-        "origem_observacoes": F.coalesce(F.size("origem_observacoes") == 0, F.lit(True)),
+        "origem_observacoes": F.coalesce(F.array_size("origem_observacoes") == 0, F.lit(True)),
     }
 
 
@@ -47,7 +47,7 @@ def territory_rules() -> Rules:
         "territorio_id": _missing("territorio_id"),
         "nivel": _outside("nivel", TERRITORY_LEVELS),
         "nome": _missing("nome"),
-        "geometria": F.coalesce(F.size("geometria") == 0, F.lit(False)),
+        "geometria": F.coalesce(F.array_size("geometria") == 0, F.lit(False)),
     }
 
 
@@ -73,11 +73,11 @@ def checked(df: DataFrame, rules: Rules, out: str = "motivos") -> DataFrame:
 
 
 def valid(df: DataFrame, rules: Rules) -> DataFrame:
-    return checked(df, rules, "_broken").filter(F.size("_broken") == 0).drop("_broken")
+    return checked(df, rules, "_broken").filter(F.array_size("_broken") == 0).drop("_broken")
 
 
 def rejected(df: DataFrame, rules: Rules) -> DataFrame:
-    return checked(df, rules).filter(F.size("motivos") > 0)
+    return checked(df, rules).filter(F.array_size("motivos") > 0)
 
 
 def orphans(df: DataFrame, key: str, parent: DataFrame, parent_key: str | None = None) -> DataFrame:

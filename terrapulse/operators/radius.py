@@ -101,11 +101,15 @@ def main_hits(hits: DataFrame) -> DataFrame:
 
 def radius_totals(hits: DataFrame, *keys: str) -> DataFrame:
     """Hits counted and hits left out for low confidence, overall or per search point."""
+    return hits.groupBy(*keys).agg(*total_columns())
+
+
+def total_columns() -> list[Column]:
     main = F.col("confianca").isin(*MAIN_CONFIDENCES)
-    return hits.groupBy(*keys).agg(
+    return [
         F.count_if(main).alias("total"),
         F.count_if(~main).alias("excluidos_baixa_confianca"),
-    )
+    ]
 
 
 def _band(lat: Column, height: float) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrapulse.constants import BASELINE_MONTHS, HISTORY_MONTHS, RANKING_LIMIT
 from terrapulse.functions.months import as_date, month_start, shift_month
 from terrapulse.operators.indicators import opening_indicators
-from terrapulse.session import shared_folder
+from terrapulse.session import staged
 
 RANKING_COLUMNS = (
     "territorio_id",
@@ -59,16 +59,14 @@ def ranked(items: DataFrame, limit: int | None = RANKING_LIMIT) -> DataFrame:
 def numbered_by_order(df: DataFrame, order: list[Column], out: str = "posicao") -> DataFrame:
     """Exact consecutive numbers over a whole sorted table, without gathering it in one task.
 
-    The range-partitioned sort is checkpointed, so both uses see the same
+    The range-partitioned sort is written once, so both uses see the same
     partitions; a row's number is its place in its partition plus the rows before.
     """
-    shared_folder(df.sparkSession)
-    placed = (
+    placed = staged(
         df.orderBy(*order)
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
         .drop("_id")
-        .checkpoint()
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

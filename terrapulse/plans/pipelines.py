@@ -41,8 +41,9 @@ from terrapulse.operators.normalize import (
     normalize_permits,
     territory_slugs,
     unmatched_names,
+    with_number,
 )
-from terrapulse.session import shared_folder
+from terrapulse.session import staged
 from terrapulse.sinks import tables
 from terrapulse.sinks.exports import export_geocoder_input
 from terrapulse.sinks.runs import Run, audited
@@ -105,6 +106,13 @@ class Warehouse:
         return audited(self.spark, self.path("pipeline_run"), job)
 
 
+def _stop_if_any(found: DataFrame, key: str, what: str) -> None:
+    """An error with a few examples when a check found rows."""
+    examples = [r[key] for r in found.select(key).take(5)]
+    if examples:
+        raise ValueError(f"{what}: {examples}")
+
+
 def ingest_permits(
     warehouse: Warehouse,
     directory: str,
@@ -116,7 +124,7 @@ def ingest_permits(
     """Loads one snapshot file, the newest by default, or every file of the folder in one job.
 
     Also returns the unmatched district names. A file is parsed once, into a
-    checkpoint that every later step reads; a line with too many fields stops
+    staged table that every later step reads; a line with too many fields stops
     the load before anything is stored. Entities are taken from the observations
     just stored, so a run that broke in between is completed by running it again.
     """
@@ -129,17 +137,17 @@ def ingest_permits(
             file_name = file_name or latest_snapshot(spark, directory)
             days = [file_name[:10]]
         slugs = territory_slugs(of_level(warehouse.read("dim_territorio"), NEIGHBOURHOOD))
-        shared_folder(spark)
-        lines = read_permits(
-            spark, directory, file_name, every_snapshot=every_snapshot, multi_line=multi_line
-        ).checkpoint()
+        lines = staged(
+            read_permits(
+                spark, directory, file_name, every_snapshot=every_snapshot, multi_line=multi_line
+            )
+        )
         overlong = overlong_lines(lines).count()
         if overlong:
             raise ValueError(f"{overlong} lines have more fields than the header")
-        normalized = normalize_permits(lines, slugs)
-        run.read = normalized.count()
+        run.read = with_number(lines).count()
         fresh = (
-            first_lines(normalized)
+            first_lines(normalize_permits(lines, slugs))
             .withColumn("criado_em", F.current_timestamp())
             .drop("tipo_entidade", "identificador_fonte")
         )
@@ -163,7 +171,9 @@ def ingest_permits(
 
 def ingest_activity_codes(warehouse: Warehouse, path: str) -> Run:
     with warehouse.audited(CODE_SOURCE) as run:
-        codes = quality.valid(read_activity_codes(warehouse.spark, path), quality.code_rules())
+        codes = read_activity_codes(warehouse.spark, path)
+        _stop_if_any(quality.rejected(codes, quality.code_rules()), "codigo_cnae", "invalid codes")
+        _stop_if_any(quality.duplicates(codes, "codigo_cnae"), "codigo_cnae", "doubled codes")
         warehouse.replace("dim_cnae", overwritten(warehouse.read("dim_cnae"), codes, "codigo_cnae"))
         run.read = run.written = codes.count()
     return run
@@ -175,12 +185,12 @@ def ingest_territories(warehouse: Warehouse, path: str) -> Run:
         features = read_features(warehouse.spark, path)
         territories = to_territories(features)
         run.read = features.count()
-        invalid = quality.rejected(territories, quality.territory_rules())
-        doubled = quality.duplicates(territories, "territorio_id")
-        for found, what in ((invalid, "invalid territories"), (doubled, "doubled territory ids")):
-            examples = [r["territorio_id"] for r in found.select("territorio_id").take(5)]
-            if examples:
-                raise ValueError(f"{what}: {examples}")
+        _stop_if_any(
+            quality.rejected(territories, quality.territory_rules()), "territorio_id", "invalid territories"
+        )
+        _stop_if_any(
+            quality.duplicates(territories, "territorio_id"), "territorio_id", "doubled territory ids"
+        )
         stored = overwritten(warehouse.read("dim_territorio"), territories, "territorio_id")
         warehouse.replace("dim_territorio", stored)
         run.written = territories.count()
@@ -193,9 +203,7 @@ def seed_categories(warehouse: Warehouse) -> tuple[int, int]:
     spark = warehouse.spark
     pairs = code_category_seed(spark)
     unknown = quality.orphans(pairs, "codigo_cnae", warehouse.read("dim_cnae"))
-    missing = [r["codigo_cnae"] for r in unknown.select("codigo_cnae").take(5)]
-    if missing:
-        raise ValueError(f"activity codes not loaded yet: {missing}")
+    _stop_if_any(unknown, "codigo_cnae", "activity codes not loaded yet")
     categories = overwritten(warehouse.read("dim_categoria"), category_seed(spark), "categoria_id")
     mapping = added(warehouse.read("cnae_categoria_map"), pairs, "codigo_cnae", "categoria_id")
     return (
@@ -207,8 +215,7 @@ def seed_categories(warehouse: Warehouse) -> tuple[int, int]:
 def _store_events(
     warehouse: Warehouse, pairs: DataFrame, days: list[dt.date | str] | None, run: Run
 ) -> None:
-    shared_folder(warehouse.spark)
-    pairs = pairs.checkpoint()
+    pairs = staged(pairs)
     run.read = pairs.count()
     events = to_events(pairs, warehouse.read("cnae_categoria_map"))
     run.written = tables.append_once(

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and staged data, `spark.checkpoint.dir` of the session.
+    """The folder for staged tables and checkpoints, `spark.checkpoint.dir` of the session.
 
     Only a local session without that setting gets a temporary folder; a cluster
     has to name one that all executors reach.
@@ -24,6 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows from a table written to the shared folder.
+
+    Cuts the lineage where several steps read one expensive result: the result
+    survives lost executors, and each step reads only the columns it needs.
+    """
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and the bench."""
     cores = "8" if cpus == "*" else str(cpus)

@@ -82,8 +82,9 @@ def append_once(
 
     Rows of `new` have to be unique by key. `only` names the partitions `new`
     can touch, so the stored side reads no others; rows are counted from the
-    file footers of these. Rows are balanced per partition before the write: no
-    swarm of small files, no single huge one.
+    file footers of these. Rows for several partitions are balanced before the
+    write: no swarm of small files, no single huge one. Rows for one partition
+    are written as the join leaves them, without another shuffle.
     """
     days = None if only is None else [F.lit(str(v)).cast("date") for v in only]
 
@@ -93,7 +94,9 @@ def append_once(
 
     before = stored().count()
     fresh = new.join(stored().select(*keys), list(keys), "left_anti")
-    fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+    if days is None or len(days) > 1:
+        fresh = fresh.hint("rebalance", partition)
+    fresh.write.mode("append").partitionBy(partition).parquet(path)
     return stored().count() - before
 
 
