@@ -47,16 +47,17 @@ def with_geodesic_distance(
     def reduced(lat: str) -> Column:
         return F.atan(F.lit(1 - f) * F.tan(F.radians(lat)))
 
-    df = df.withColumns({"_u1": reduced(lat1), "_u2": reduced(lat2)}).withColumns(
+    turn = F.radians(c(lon2) - c(lon1))
+    df = df.withColumns(
         {
-            "_su1": F.sin("_u1"),
-            "_cu1": F.cos("_u1"),
-            "_su2": F.sin("_u2"),
-            "_cu2": F.cos("_u2"),
-            "_l": F.radians(c(lon2) - c(lon1)),
+            "_su1": F.sin(reduced(lat1)),
+            "_cu1": F.cos(reduced(lat1)),
+            "_su2": F.sin(reduced(lat2)),
+            "_cu2": F.cos(reduced(lat2)),
+            "_l": turn,
+            "_lam": turn,
         }
     )
-    df = df.withColumn("_lam", c("_l"))
     for _ in range(INVERSE_ITERATIONS):
         cross = c("_cu1") * c("_su2") - c("_su1") * c("_cu2") * F.cos("_lam")
         side = c("_cu2") * F.sin("_lam")
@@ -66,35 +67,24 @@ def with_geodesic_distance(
                 "_cs": c("_su1") * c("_su2") + c("_cu1") * c("_cu2") * F.cos("_lam"),
             }
         )
+        sa = F.when(c("_ss") == 0, 0.0).otherwise(
+            c("_cu1") * c("_cu2") * F.sin("_lam") / c("_ss")
+        )
+        df = df.withColumns({"_sig": F.atan2("_ss", "_cs"), "_sa": sa, "_c2a": 1 - sa * sa})
+        c2m = F.when(c("_c2a") == 0, 0.0).otherwise(
+            c("_cs") - 2 * c("_su1") * c("_su2") / c("_c2a")
+        )
+        cc = F.lit(f / 16) * c("_c2a") * (4 + F.lit(f) * (4 - 3 * c("_c2a")))
         df = df.withColumns(
             {
-                "_sig": F.atan2("_ss", "_cs"),
-                "_sa": F.when(c("_ss") == 0, 0.0).otherwise(
-                    c("_cu1") * c("_cu2") * F.sin("_lam") / c("_ss")
-                ),
-            }
-        ).withColumn("_c2a", 1 - c("_sa") * c("_sa"))
-        df = df.withColumns(
-            {
-                "_c2m": F.when(c("_c2a") == 0, 0.0).otherwise(
-                    c("_cs") - 2 * c("_su1") * c("_su2") / c("_c2a")
-                ),
-                "_cc": F.lit(f / 16) * c("_c2a") * (4 + F.lit(f) * (4 - 3 * c("_c2a"))),
+                "_c2m": c2m,
+                "_lam": c("_l")
+                + (1 - cc)
+                * F.lit(f)
+                * c("_sa")
+                * (c("_sig") + cc * c("_ss") * (c2m + cc * c("_cs") * (2 * c2m * c2m - 1))),
             }
         )
-        df = df.withColumn(
-            "_lam",
-            c("_l")
-            + (1 - c("_cc"))
-            * F.lit(f)
-            * c("_sa")
-            * (
-                c("_sig")
-                + c("_cc")
-                * c("_ss")
-                * (c("_c2m") + c("_cc") * c("_cs") * (2 * c("_c2m") * c("_c2m") - 1))
-            ),
-        )
     df = df.withColumn("_uu", c("_c2a") * F.lit((a * a - b * b) / (b * b)))
     u = c("_uu")
     df = df.withColumns(
@@ -118,8 +108,8 @@ def with_geodesic_distance(
         )
     )
     return df.withColumn(out, F.lit(b) * c("_aa") * (c("_sig") - shift)).drop(
-        "_u1", "_u2", "_su1", "_cu1", "_su2", "_cu2", "_l", "_lam", "_ss", "_cs",
-        "_sig", "_sa", "_c2a", "_c2m", "_cc", "_uu", "_aa", "_bb",
+        "_su1", "_cu1", "_su2", "_cu2", "_l", "_lam", "_ss", "_cs",
+        "_sig", "_sa", "_c2a", "_c2m", "_uu", "_aa", "_bb",
     )
 
 

@@ -39,86 +39,77 @@ _RECENT = (0, 2)
 _PREVIOUS = (3, 5)
 
 
-def with_baseline(
-    df: DataFrame, *, value: Column, points: Column, total: Column, minimum: int = MIN_BASELINE_MONTHS
-) -> DataFrame:
-    """Mean of the earlier months and the relative change against it."""
-    enough = points >= minimum
-    mean = F.when(enough, F.try_divide(total, points))
-    df = df.withColumns({"valor_atual": value, "baseline": mean})
-    base = F.col("baseline")
-    return df.withColumns(
-        {
-            "variacao_pct": F.when(base != 0, (F.col("valor_atual") - base) / base),
-            "motivo_baseline": F.when(base.isNull(), SHORT_HISTORY).when(base == 0, ZERO_BASELINE),
-        }
+Pair = tuple[Column, Column]
+
+
+def _mean(pair: Pair, minimum: int) -> Column:
+    """Mean from (number of points, sum), null below the minimum number of points."""
+    points, total = pair
+    return F.when(points >= minimum, F.try_divide(total, points))
+
+
+def baseline_change(value: Column, baseline: Column) -> Column:
+    """Relative change against the mean of the earlier months."""
+    return F.when(baseline != 0, (value - baseline) / baseline)
+
+
+def trend_change(now: Column, then: Column) -> Column:
+    """Relative change between two windows; from zero to zero is no change."""
+    return F.when(then != 0, (now - then) / then).when((then == 0) & (now == 0), 0.0)
+
+
+def trend_label(now: Column, then: Column, threshold: float = TREND_THRESHOLD) -> Column:
+    """Label of a trend; null when a window is too thin. Any move away from zero accelerates."""
+    change = trend_change(now, then)
+    return F.when(
+        now.isNotNull() & then.isNotNull(),
+        F.when(change.isNull() | (change > threshold), ACCELERATING)
+        .when(change < -threshold, SLOWING)
+        .otherwise(STABLE),
     )
 
 
-def with_trend(
+def _indicators(
     df: DataFrame,
+    value: Column,
+    baseline: Pair,
+    recent: Pair,
+    previous: Pair,
     *,
-    recent_points: Column,
-    recent_total: Column,
-    previous_points: Column,
-    previous_total: Column,
     threshold: float = TREND_THRESHOLD,
-    minimum: int = MIN_TREND_MONTHS,
+    min_baseline: int = MIN_BASELINE_MONTHS,
+    min_trend: int = MIN_TREND_MONTHS,
 ) -> DataFrame:
-    """Mean of the last three months, the reference month included, against the three before."""
-    enough = (recent_points >= minimum) & (previous_points >= minimum)
+    """Both indicators from (points, total) pairs.
+
+    Baseline: mean of the earlier months. Trend: mean of the last three months,
+    the reference month included, against the three before. One reason for
+    display: baseline missing, then trend missing, then percentage missing.
+    """
     df = df.withColumns(
         {
-            "_now": F.when(enough, F.try_divide(recent_total, recent_points)),
-            "_then": F.when(enough, F.try_divide(previous_total, previous_points)),
+            "valor_atual": value,
+            "baseline": _mean(baseline, min_baseline),
+            "_now": _mean(recent, min_trend),
+            "_then": _mean(previous, min_trend),
         }
     )
-    now, then = F.col("_now"), F.col("_then")
-    df = df.withColumn(
-        "tendencia_pct", F.when(then != 0, (now - then) / then).when((then == 0) & (now == 0), 0.0)
-    )
-    change = F.col("tendencia_pct")
+    base, now, then = F.col("baseline"), F.col("_now"), F.col("_then")
+    thin = now.isNull() | then.isNull()
     return df.withColumns(
         {
-            "tendencia": F.when(then.isNull(), F.lit(None).cast("string"))
-            .when(change.isNull() | (change > threshold), ACCELERATING)
-            .when(change < -threshold, SLOWING)
-            .otherwise(STABLE),
-            "motivo_tendencia": F.when(then.isNull(), SHORT_HISTORY).when(change.isNull(), ZERO_BASELINE),
+            "variacao_pct": baseline_change(F.col("valor_atual"), base),
+            "motivo_baseline": F.when(base.isNull(), SHORT_HISTORY).when(base == 0, ZERO_BASELINE),
+            "tendencia": trend_label(now, then, threshold),
+            "tendencia_pct": trend_change(now, then),
+            "motivo_tendencia": F.when(thin, SHORT_HISTORY).when(
+                trend_change(now, then).isNull(), ZERO_BASELINE
+            ),
+            "motivo_indisponivel": F.when(base.isNull() | thin, SHORT_HISTORY).when(
+                base == 0, ZERO_BASELINE
+            ),
         }
-    ).drop("_now", "_then")
-
-
-def combined_reason() -> Column:
-    """One reason for display: baseline missing, then trend missing, then percentage missing."""
-    return (
-        F.when(F.col("baseline").isNull(), F.col("motivo_baseline"))
-        .when(F.col("tendencia").isNull(), F.col("motivo_tendencia"))
-        .when(F.col("variacao_pct").isNull(), F.col("motivo_baseline"))
-    )
-
-
-def _indicators(
-    df: DataFrame, value: Column, baseline: tuple, recent: tuple, previous: tuple, **rules
-) -> DataFrame:
-    """Both indicators from (points, total) pairs."""
-    df = with_baseline(
-        df,
-        value=value,
-        points=baseline[0],
-        total=baseline[1],
-        minimum=rules.get("min_baseline", MIN_BASELINE_MONTHS),
-    )
-    df = with_trend(
-        df,
-        recent_points=recent[0],
-        recent_total=recent[1],
-        previous_points=previous[0],
-        previous_total=previous[1],
-        threshold=rules.get("threshold", TREND_THRESHOLD),
-        minimum=rules.get("min_trend", MIN_TREND_MONTHS),
     )
-    return df.withColumn("motivo_indisponivel", combined_reason())
 
 
 def _span_points(span: tuple[int, int], history: int) -> int:
@@ -161,7 +152,7 @@ def indicators_at(
     if wanted is not None:
         grouped = wanted.select(*keys).distinct().join(grouped, list(keys), "left")
 
-    def pair(name: str) -> tuple[Column, Column]:
+    def pair(name: str) -> Pair:
         total = F.coalesce(F.col(name), F.lit(0.0)).cast("double")
         if filled is None:
             return F.coalesce(F.col(f"{name}_n"), F.lit(0)), total
@@ -214,7 +205,7 @@ def series_indicators(
     """
     order = Window.partitionBy(*keys).orderBy(month_index("mes"))
 
-    def pair(low: int, high: int) -> tuple[Column, Column]:
+    def pair(low: int, high: int) -> Pair:
         frame = order.rangeBetween(-high, -low)
         total = F.coalesce(F.sum("valor").over(frame), F.lit(0.0))
         return F.count("valor").over(frame), total
@@ -256,7 +247,7 @@ def indicators_for_months(
     order = per_key.orderBy("_at")
     back = F.col("_at") - F.col("_start")
 
-    def pair(low: int, high: int) -> tuple[Column, Column]:
+    def pair(low: int, high: int) -> Pair:
         total = F.coalesce(F.sum("valor").over(order.rangeBetween(-high, -low)), F.lit(0.0))
         points = F.greatest(F.lit(0), F.least(F.lit(high), back) - low + 1)
         return points, total
