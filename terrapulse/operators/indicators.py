@@ -138,11 +138,13 @@ def indicators_at(
     map side, so a key with very many rows costs no more than others.
     """
     ref = as_date(reference)
-    distance = month_index(ref) - month_index("mes")
-    spans = {"_base": (1, window), "_recent": _RECENT, "_previous": _PREVIOUS}
     if filled is not None:
         series = series.filter(F.col("mes").between(shift_month(ref, -filled), month_start(ref)))
-    sums = [F.sum(F.when(F.col("mes") == ref, F.col("valor"))).alias("_value")]
+    # The reference may be a subquery: as a column it is planned once, not once per use.
+    series = series.withColumn("_ref", ref)
+    distance = month_index("_ref") - month_index("mes")
+    spans = {"_base": (1, window), "_recent": _RECENT, "_previous": _PREVIOUS}
+    sums = [F.sum(F.when(F.col("mes") == F.col("_ref"), F.col("valor"))).alias("_value")]
     for name, (low, high) in spans.items():
         inside = distance.between(low, high)
         sums.append(F.sum(F.when(inside, F.col("valor"))).alias(name))
@@ -259,7 +261,8 @@ def indicators_for_months(
         pair(*_RECENT),
         pair(*_PREVIOUS),
     ).filter("_asked")
-    late = F.col("mes") > as_date(complete_until)
+    found = found.withColumn("_late", F.col("mes") > as_date(complete_until))
+    late = F.col("_late")
     blank = {
         "valor_atual": F.when(late, 0.0).otherwise(F.col("valor_atual")),
         **{

@@ -7,8 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapulse.constants import BASELINE_MONTHS, HISTORY_MONTHS, RANKING_LIMIT
-from terrapulse.functions.months import as_date, month_start, shift_month
+from terrapulse.constants import BASELINE_MONTHS, RANKING_LIMIT
 from terrapulse.operators.indicators import opening_indicators
 from terrapulse.session import staged
 
@@ -88,11 +87,10 @@ def position_of(items: DataFrame, territory: str) -> DataFrame:
     """
     chosen = eligible(items)
     own = chosen.filter(F.col("territorio_id") == territory).select(F.max("variacao_pct")).scalar()
-    ahead = (F.col("variacao_pct") > own) | (
-        (F.col("variacao_pct") == own) & (F.col("territorio_id") < territory)
-    )
-    return chosen.agg(
-        F.when(own.isNotNull(), F.count_if(ahead) + 1).alias("posicao_ranking"),
+    pct, mine = F.col("variacao_pct"), F.col("_own")
+    ahead = (pct > mine) | ((pct == mine) & (F.col("territorio_id") < territory))
+    return chosen.withColumn("_own", own).agg(
+        F.when(F.max("_own").isNotNull(), F.count_if(ahead) + 1).alias("posicao_ranking"),
         F.nullif(F.count(F.lit(1)), F.lit(0)).alias("total_ranking"),
     )
 
@@ -105,9 +103,7 @@ def ranking_items(
     Only the baseline window and the reference month are read: a territory
     without openings there has a zero baseline and cannot be ranked.
     """
-    ref = as_date(reference)
-    needed = counts.filter(F.col("mes").between(shift_month(ref, -BASELINE_MONTHS), month_start(ref)))
-    return opening_indicators(needed, ref, category=category, history=HISTORY_MONTHS)
+    return opening_indicators(counts, reference, category=category, history=BASELINE_MONTHS)
 
 
 def growth_ranking(
