@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapulse.llm import exact, packing, shards
+from terrapulse.llm import exact, packing, quality, secrets, shards
 from terrapulse.llm.sql import EXACT
 
 
@@ -44,10 +44,32 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.deduplicate(_read(spark, folder, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    model = quality.train(docs, _read(spark, folder, "labels"))
+    return quality.judged(docs, model)
+
+
+def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(_read(spark, folder, "documents"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.joined(of("assign", "access", "hex")), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLES: dict[str, str] = {"op5_exact_dedup": EXACT}
