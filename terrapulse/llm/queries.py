@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapulse.llm import exact, packing, quality, secrets, shards
+from terrapulse.llm import exact, packing, quality, secrets, shards, simhash
 from terrapulse.llm.sql import EXACT
 
 
@@ -50,6 +50,11 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(docs, model)
 
 
+def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find_secrets(_read(spark, folder, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 
