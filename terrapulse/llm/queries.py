@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapulse.llm import exact, packing, quality, secrets, shards, simhash
-from terrapulse.llm.sql import EXACT
+from terrapulse.llm import exact, mixing, packing, quality, secrets, shards, simhash
+from terrapulse.llm.sql import EXACT, MIXING
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -25,6 +25,18 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_read(spark, folder, "documents"), tokenizer_file())
 
 
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mixing.mixed(_read(spark, folder, "documents"), keep=("doc_id", "source"))
+    return rows.select(
+        "doc_id",
+        "source",
+        F.col("mix_block").alias("block"),
+        F.col("mix_place").alias("place"),
+        F.col("mix_tokens").alias("tokens"),
+        F.round("mix_weight", 9).alias("weight"),
+    )
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows, slot_map = shards.sharded(_read(spark, folder, "documents"))
     return rows.select(
@@ -71,6 +83,7 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_source_mixing": op2_source_mixing,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
@@ -78,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scans": op10_secret_scans,
 }
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": EXACT}
+ORACLES: dict[str, str] = {"op2_source_mixing": MIXING, "op5_exact_dedup": EXACT}
