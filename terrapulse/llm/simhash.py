@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import cut, join_hot, mixed, texts
+from terrapulse.llm.common import cut, join_hot
 
 SHINGLE = 4
 SEED = 42
@@ -67,15 +67,18 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, print): the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, print): the fingerprint's bits as a long; and the columns named in `payload`, unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "print"])
+            found = np.array([fingerprint(t.as_py()) for t in batch.column("_text")], dtype=np.uint64)
+            rest = [name for name in batch.schema.names if name != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in rest), pa.array(found.view(np.int64))], [*rest, "print"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, print long")
+    source = docs.select("doc_id", *payload, F.coalesce("text", F.lit("")).alias("_text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{kept}, print long")
 
 
 class Forest:
@@ -233,14 +236,19 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, print, component_id) of each row: the smallest id that steps of at most `radius` bits lead to."""
-    prints = cut(fingerprints(docs))
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, payload: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, payload, print, root, component_id) of each row.
+
+    component_id is the smallest id that steps of at most `radius` bits lead to,
+    root the smallest print.
+    """
+    prints = cut(fingerprints(docs, payload))
     nodes = cut(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     n_nodes, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     roots = components(links(nodes.select("print"), n_nodes, radius))
     rooted = nodes.join(roots.withColumnRenamed("v", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     rooted = cut(rooted)
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")))
-    table = join_hot(rooted, least, "root", "members", n_nodes, F.col("print")).select("print", "component_id", "n")
-    return join_hot(prints, table, "print", "n", total, F.col("doc_id")).select("doc_id", "print", "component_id")
+    table = join_hot(rooted, least, "root", "members", n_nodes, F.col("print")).select("print", "root", "component_id", "n")
+    spread = F.xxhash64("doc_id", *payload)
+    return join_hot(prints, table, "print", "n", total, spread).select("doc_id", *payload, "print", "root", "component_id")
