@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapulse.llm import exact, mixing, packing, quality, secrets, shards, simhash, suffix_trees
+from terrapulse.llm import exact, mixing, packing, quality, secrets, shards, simhash, suffix_arrays, suffix_trees
 from terrapulse.llm.sql import EXACT, MIXING
 
 
@@ -71,6 +71,10 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_arrays.removal_counts(_read(spark, folder, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find_secrets(_read(spark, folder, "documents"))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 

@@ -318,3 +318,9 @@ def removed(docs: DataFrame, kind: Kind, back_end: Callable[[pa.Table], pa.Table
     answers = segments_.groupBy("shard").applyInArrow(back_end, ANSWERS)
     routed = found.select("bucket", "digest", "base").join(answers, "digest")
     return dealt.groupBy("bucket").cogroup(routed.groupBy("bucket")).applyInArrow(_finish(kind, digest, fields), schema)
+
+
+def grams(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive values, for any length."""
+    n = len(values) - k + 1
+    return np.concatenate([_grams(mixed(values[at : min(at + BLOCK, n) + k - 1]), k) for at in range(0, n, BLOCK)])
