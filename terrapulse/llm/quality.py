@@ -142,16 +142,20 @@ def _sigmoid(x):
 
 
 def fit(slots: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, steps: int = 120, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam on the whole sample; both classes weigh the same."""
-    at, x = np.concatenate(slots), np.concatenate(values).astype(np.float64)
-    row = np.repeat(np.arange(len(y)), [len(s) for s in slots])
+    """Logistic regression by Adam on the whole sample, some documents at a time; both classes weigh the same."""
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    parts = []
+    for some in np.array_split(np.arange(len(y)), -(-len(y) // 64)):
+        sizes = [len(slots[i]) for i in some]
+        parts.append((some, np.concatenate([slots[i] for i in some]), np.concatenate([values[i] for i in some]), np.repeat(np.arange(len(some), dtype=np.int32), sizes)))
     w, bias = np.zeros(FAMILIES * SLOTS), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        miss = (_sigmoid(np.bincount(row, w[at] * x, len(y)) + bias) - y) * share
-        g = np.bincount(at, miss[row] * x, len(w)) + ridge * w
-        gb = miss.sum()
+        g, gb = ridge * w, 0.0
+        for some, at, x, row in parts:
+            miss = (_sigmoid(np.bincount(row, w[at] * x, len(some)) + bias) - y[some]) * share[some]
+            g += np.bincount(at, miss[row] * x, len(w))
+            gb += miss.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = 0.05 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
