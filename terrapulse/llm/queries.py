@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapulse.llm import exact, mixing, packing, quality, secrets, shards, simhash, suffix_arrays, suffix_trees
+from terrapulse.llm import exact, licences, mixing, packing, quality, secrets, shards, simhash, suffix_arrays, suffix_trees
 from terrapulse.llm.sql import EXACT, MIXING
 
 
@@ -37,6 +37,17 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scanned(_read(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("licences").alias("n_licences"),
+        F.array_join(F.array_sort(F.array_distinct("licences.family")), ",").alias("families"),
+        F.size(F.filter("licences", lambda x: x["confirmed"])).alias("n_confirmed"),
+        F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["paragraph"], x["family"])), ",").alias("paragraphs"),
+    )
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows, slot_map = shards.sharded(_read(spark, folder, "documents"))
     return rows.select(
@@ -92,6 +103,7 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
+    "op3_license_scans": op3_license_scans,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_substring_dedup": op6_substring_dedup,
