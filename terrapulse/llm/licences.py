@@ -3,8 +3,8 @@
 A paragraph is a line. Its features are the distinct runs of one to three words.
 A multinomial logistic regression with an L1 penalty is trained on variants of
 licence templates (stretches of their words), on sentences about licences of no
-known family, and on NEGATIVES paragraphs of the corpus; only features with a
-weight are kept. So a paragraph's score is a sum over the few of its word runs in
+known family, and on the paragraphs of NEGATIVES documents; runs that are frequent
+in those are no features, and only features with a weight are kept. So a paragraph's score is a sum over the few of its word runs in
 that short table, which is broadcast (at most FEATURES rows): no vector is built,
 and paragraphs without such a run go no further.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +96,8 @@ NONE, UNKNOWN = "none", "unknown"
 NEGATIVES = 200
 #: The bound on distinct word runs that training looks at.
 FEATURES = 50_000
+#: Word runs in more than this part of ordinary paragraphs are no features.
+FREQUENT = 0.005
 #: The part of held-out variants of a family that may fall short of the calibrated probability.
 MISSED = 0.02
 #: The part of a template's runs of three words that confirms a family.
@@ -163,10 +165,15 @@ def train(docs: DataFrame) -> Scanner:
     spark = docs.sparkSession
     classes = [NONE, UNKNOWN, *TEMPLATES]
     number = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-    rows = _examples(spark, docs).select(number[F.col("label")].alias("label"), _runs(F.col("words")).alias("runs"))
-    rows = rows.where(F.size("runs") > 0).withColumn("held", F.pmod(F.xxhash64("runs"), F.lit(5)) == 0).cache()
+    given = _examples(spark, docs).select(number[F.col("label")].alias("label"), F.explode(F.array("words")).alias("words"))
+    rows = given.select("label", _runs(F.col("words")).alias("runs")).where(F.size("runs") > 0)
+    # A bounded sample: one partition spares the many short jobs of the regression their overhead.
+    rows = rows.withColumn("held", F.pmod(F.xxhash64("runs"), F.lit(5)) == 0).coalesce(1).cache()
     seen, held = rows.where("not held"), rows.where("held")
-    vocabulary = CountVectorizer(inputCol="runs", outputCol="features", binary=True, vocabSize=FEATURES).fit(rows.where("label > 0"))
+    ordinary = rows.where("label = 0").count()
+    count = rows.select("label", F.explode("runs").alias("run")).groupBy("run").agg(F.count_if(F.col("label") > 0).alias("n"), F.count_if(F.col("label") == 0).alias("plain"))
+    rare = count.where((F.col("n") > 0) & (F.col("plain") <= FREQUENT * ordinary)).orderBy(F.desc("n"), "run").limit(FEATURES)
+    vocabulary = CountVectorizerModel.from_vocabulary([r["run"] for r in rare.collect()], "runs", "features").setBinary(True)
     size = {r["label"]: r["count"] for r in seen.groupBy("label").count().collect()}
     most = max(size.values())
     share = F.create_map(*[F.lit(x) for k, n in size.items() for x in (k, most / n)])
@@ -195,8 +202,12 @@ def train(docs: DataFrame) -> Scanner:
 
 def paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """(row, doc_id, paragraph, family, probability, confirmed) of each paragraph that has a run of the table, and one null paragraph for each row."""
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(F.concat(F.array(F.lit(None)), F.split(F.coalesce("text", F.lit("")), "\n"))).alias("paragraph", "line"))
-    runs = lines.select("row", "doc_id", "paragraph", F.explode(F.when(F.col("line").isNull(), F.array(F.lit(""))).otherwise(_runs(_words(F.col("line"))))).alias("run"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    # Words come out of a generator, so they are made once and not again for each run of them.
+    words = F.posexplode(F.concat(F.array(F.lit(None).cast("array<string>")), F.transform("lines", _words)))
+    lines = rows.select("row", "doc_id", words.alias("paragraph", "words"))
+    each = F.when(F.col("words").isNull(), F.array(F.lit(""))).otherwise(_runs(F.col("words")))
+    runs = lines.select("row", "doc_id", "paragraph", F.explode(each).alias("run"))
     k = len(scanner.classes)
     mark = docs.sparkSession.createDataFrame([("", [0.0] * k, [])], "run string, weights array<double>, templates array<int>")
     found = runs.join(F.broadcast(scanner.runs.union(mark)), "run")
