@@ -42,7 +42,7 @@ SHARD_ANCHORS = 1 << 20
 #: Windows with one anchor from which it is refined.
 FREQUENT = 10_000
 #: UTF-8 bytes of input for each shard of the back end.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 _LAST = np.iinfo(np.int64).max
 _N = (1 << 20) + 4096
@@ -304,19 +304,20 @@ def removed(docs: DataFrame, kind: Kind, back_end: Callable[[pa.Table], pa.Table
     shards = max(1, round(total * kind.anchors_per_byte / SHARD_ANCHORS))
     anchors = dealt.groupBy("bucket").applyInArrow(_send_anchors(kind, shards), ANCHORS)
     repeated = anchors.groupBy("shard").applyInArrow(_find_repeated, REPEATED)
-    # One row per bucket and segment; this exchange is read twice.
-    found = dealt.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_cut_out(kind), SEGMENTS).repartition("digest")
-    distinct = found.groupBy("digest").agg(
-        F.first("anchor").alias("anchor"),
+    # One row per bucket and segment, dealt once: all segments of an anchor are in one shard, where equal ones are
+    # joined, compared and answered without moving their texts again.
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // SHARD_BYTES)))).cast("int")
+    found = dealt.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_cut_out(kind), SEGMENTS)
+    found = found.withColumn("shard", shard).repartition("shard")
+    distinct = found.groupBy("shard", "anchor", "digest").agg(
         F.first("content").alias("content"),
         F.sum("n").alias("n"),
         F.min(F.struct("doc", "start")).alias("at"),
         F.max("places").alias("places"),
     )
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // SHARD_BYTES)))).cast("int")
-    segments_ = distinct.select("digest", "anchor", "content", "n", "at.doc", "at.start", "places", shard.alias("shard"))
-    answers = segments_.groupBy("shard").applyInArrow(back_end, ANSWERS)
-    routed = found.select("bucket", "digest", "base").join(answers, "digest")
+    segments_ = distinct.select("digest", "anchor", "content", "n", "at.doc", "at.start", "places", "shard")
+    answers = segments_.groupBy("shard").applyInArrow(back_end, ANSWERS).withColumn("shard", shard)
+    routed = found.select("bucket", "shard", "digest", "base").join(answers, ["shard", "digest"])
     return dealt.groupBy("bucket").cogroup(routed.groupBy("bucket")).applyInArrow(_finish(kind, digest, fields), schema)
 
 
