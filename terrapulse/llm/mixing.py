@@ -37,8 +37,11 @@ _POINTS = 63
 #: Documents of a block that are ordered in one task, on average.
 ORDERED_TOGETHER = 200_000
 
-#: Word count as a token count: the runs of `[^\x20\x09-\x0D]`.
-WORDS = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
+
+def words() -> Column:
+    """Word count as a token count: the runs of `[^\\x20\\x09-\\x0D]` in the text."""
+    return F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
+
 
 
 @dataclass(frozen=True)
@@ -114,7 +117,7 @@ def mixture(tokens: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repea
 
 
 def mixed(
-    docs: DataFrame, tokens: Column = WORDS, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS,
+    docs: DataFrame, tokens: Column | None = None, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS,
     budget: int | None = None, seed: int = 7, prefix: str = "mix_", keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """The mixture's rows: the columns `keep` of `docs` (all by default), then block, place in the block, tokens and weight, with `prefix`.
@@ -125,7 +128,7 @@ def mixed(
     """
     names = list(keep or docs.columns)
     carried = [F.col(c).alias(f"c_{c}") for c in names]
-    counted = F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(1)).cast("long")
+    counted = F.greatest(F.coalesce(words() if tokens is None else tokens, F.lit(0)), F.lit(1)).cast("long")
     rows = docs.select(*carried, F.col("source").alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), counted.alias("tokens"))
     made = mixture(docs.select(F.col("source"), counted.alias("tokens")), target_entropy, max_repeats, budget)
     found = made.sources.withColumnsRenamed({"source": "s", "tokens": "s_tokens"})
