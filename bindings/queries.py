@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bindings import sql as q
 from bindings import views as v
 from terrapulse.constants import NEIGHBOURHOOD, PERMIT_SOURCE
-from terrapulse.functions import geodesy
+from terrapulse.functions import geodesy, text
 from terrapulse.functions.months import in_last_months, month_start, shift_month
 from terrapulse.functions.text import activity_code, complete_search_text, display_address, display_name
 from terrapulse.operators import (
@@ -286,6 +286,35 @@ def territory_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "territory_profile",
+    f"""SELECT s.*, n.categorias, m.mes, m.aberturas, m.desaparecimentos, m.saldo, m.baseline, m.variacao_pct, m.tendencia,
+  m.motivo_indisponivel
+FROM ({ORACLES['territory_summary']}) s
+LEFT JOIN (SELECT '{_SUMMARY}' AS territorio_id, string_agg(nome || '=' || contagem, ',' ORDER BY contagem DESC, categoria_id) AS categorias
+  FROM (WITH {q.OPENINGS}, {q.SEGMENTS}, {q.EVENT_COUNTS},
+    period AS (SELECT CAST(max(mes) - INTERVAL 1 MONTH AS DATE) AS p FROM event_counts)
+    SELECT categoria_id, nome, CAST(sum(contagem) AS BIGINT) AS contagem FROM openings JOIN segments USING (categoria_id), period
+    WHERE territorio_id = '{_SUMMARY}' AND mes = p GROUP BY ALL ORDER BY contagem DESC, categoria_id LIMIT 5)) n USING (territorio_id)
+LEFT JOIN (SELECT * FROM (WITH {q.MONTH_INDICATORS}
+SELECT territorio_id, CAST(mes AS VARCHAR) AS mes, aberturas, desaparecimentos,
+  aberturas - desaparecimentos AS saldo, round(baseline, 6) AS baseline, round(variacao_pct, 6) AS variacao_pct,
+  tendencia, motivo_indisponivel
+FROM by_month JOIN month_indicators USING (territorio_id, mes) WHERE territorio_id = '{_SUMMARY}')
+  WHERE mes >= '1996-03-01') m USING (territorio_id)""",
+)
+def territory_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole profile request, one row for each month of its series."""
+    row = requests.territory_profile(
+        staged(_event_counts(spark, sf)), v.openings(spark, sf), v.territories(spark, sf), v.segments(spark, sf),
+        territory=_SUMMARY, start="1996-03-01",
+    )
+    short = F.array_join(F.transform("categorias", lambda c: F.concat_ws("=", c["nome"], c["contagem"].cast("string"))), ",")
+    single = row.withColumn("categorias", short)
+    months = single.select(*[c for c in single.columns if c != "serie"], F.inline_outer("serie"))
+    return shown(months.drop("categoria_id"))
+
+
 # ---- events -----------------------------------------------------------------------------
 
 
@@ -501,7 +530,7 @@ def commerce_metrics_map(spark: SparkSession, sf: str) -> DataFrame:
     return shown(requests.commerce_metrics(_event_counts(spark, sf), v.openings(spark, sf)))
 
 
-_MAP_SQL = f"""{q.EVENT_COUNTS}, {q.TERRITORIES},
+_MAP_SQL = f"""{q.EVENT_COUNTS}, {q.ALL_TERRITORIES},
 late AS (SELECT territorio_id, {q.METRICS} FROM event_counts WHERE mes >= DATE '2001-06-01' GROUP BY 1),
 dataset AS (SELECT t.territorio_id, nome, coalesce(aberturas - desaparecimentos, 0) AS saldo, aberturas,
   desaparecimentos, l.territorio_id IS NOT NULL AS tem_dado FROM territories t LEFT JOIN late l USING (territorio_id))"""
@@ -509,7 +538,7 @@ dataset AS (SELECT t.territorio_id, nome, coalesce(aberturas - desaparecimentos,
 
 @query("map_dataset", f"WITH {_MAP_SQL} SELECT * FROM dataset")
 def map_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    return requests.map_view(v.territories(spark, sf), _event_counts(spark, sf), start="2001-06-01")[0]
+    return requests.map_view(v.all_territories(spark, sf), _event_counts(spark, sf), start="2001-06-01")[0]
 
 
 @query(
@@ -518,19 +547,24 @@ def map_dataset(spark: SparkSession, sf: str) -> DataFrame:
   least(0, min(saldo)) AS legenda_minimo, greatest(0, max(saldo)) AS legenda_maximo FROM dataset WHERE tem_dado""",
 )
 def balance_domain(spark: SparkSession, sf: str) -> DataFrame:
-    return requests.map_view(v.territories(spark, sf), _event_counts(spark, sf), start="2001-06-01")[1]
+    return requests.map_view(v.all_territories(spark, sf), _event_counts(spark, sf), start="2001-06-01")[1]
 
 
-@query(
-    "category_breakdown",
-    f"""WITH {q.OPENINGS}, {q.SEGMENTS}, {q.EVENT_COUNTS},
-period AS (SELECT CAST(max(mes) - INTERVAL 1 MONTH AS DATE) AS p FROM event_counts)
-SELECT categoria_id, nome, CAST(sum(contagem) AS BIGINT) AS contagem FROM openings JOIN segments USING (categoria_id), period
-WHERE territorio_id = '{_SUMMARY}' AND mes = p GROUP BY ALL ORDER BY contagem DESC, categoria_id LIMIT 5""",
-)
+_BREAKDOWN_SQL = f"""WITH fine AS (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN c_mktsegment || '/' || o_orderpriority END AS categoria_id,
+  date_trunc('month', o_orderdate) AS mes FROM orders JOIN customer ON o_custkey = c_custkey
+  WHERE 'nation-' || c_nationkey = '{_SUMMARY}')
+SELECT categoria_id, CASE WHEN categoria_id IS NULL OR categoria_id LIKE '%/1-URGENT' THEN '(sem categoria)'
+  ELSE lower(categoria_id) END AS nome, CAST(count(*) AS BIGINT) AS contagem FROM fine
+WHERE mes = (SELECT max(mes) FROM fine) GROUP BY ALL ORDER BY contagem DESC, categoria_id LIMIT 5"""
+
+
+@query("category_breakdown", _BREAKDOWN_SQL)
 def category_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Largest categories of the last month in which the territory has openings."""
+    found = v.fine_openings(spark, sf)
+    month = found.filter(F.col("territorio_id") == _SUMMARY).agg(F.max("mes")).scalar()
     return requests.territory_breakdown(
-        staged(_event_counts(spark, sf)), v.openings(spark, sf), v.segments(spark, sf), territory=_SUMMARY
+        _event_counts(spark, sf), found, v.fine_categories(spark, sf), territory=_SUMMARY, period=month
     )
 
 
@@ -795,6 +829,29 @@ def radius_totals(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf, "bares_restaurantes")[1]
 
 
+_ADDRESS = "Customer#000000001"
+_ADDRESS_SQL = _HITS_SQL.replace(f"{_CENTRE[0]}::DOUBLE AS lat_a", "(SELECT lat1 FROM point) AS lat_a").replace(
+    f"{_CENTRE[1]}::DOUBLE AS lon_a", "(SELECT lon1 FROM point) AS lon_a"
+)
+
+
+@query(
+    "address_search",
+    f"""WITH {q.CANDIDATES}, point AS (SELECT lat1, lon1 FROM resolved JOIN customer USING (c_custkey)
+  WHERE c_name = '{_ADDRESS}' AND status = 'sucesso'), {_ADDRESS_SQL}
+SELECT entidade_id, nome, endereco, categoria_id, territorio_id, round(distancia_m, 3) AS distancia_m, confianca,
+  round(lat, 6) AS lat, round(lon, 6) AS lon, round((SELECT lat1 FROM point), 6) AS ponto_lat,
+  round((SELECT lon1 FROM point), 6) AS ponto_lon FROM hits WHERE confianca IN ('alta', 'media')""",
+)
+def address_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Businesses around a searched address, with the point that was found for it."""
+    found, _ = requests.address_search(
+        v.search_lists(spark, sf), v.first_locations(spark, sf), v.observations(spark, sf), v.entities(spark, sf),
+        code_category_seed(spark), address=_ADDRESS, radius_m=_RADIUS,
+    )
+    return shown(found.withColumn("distancia_m", F.round("distancia_m", 3)))
+
+
 @query(
     "radius_join",
     f"""WITH {q.FIRST_LOCATIONS},
@@ -832,11 +889,27 @@ def _permits(spark: SparkSession, sf: str) -> DataFrame:
 def permit_normalize(spark: SparkSession, sf: str) -> DataFrame:
     kept = (
         "numero_do_alvara", "nome_empresarial", "nome_fantasia", "inicio_atividade", "data_emissao",
-        "data_expiracao", "endereco", "numero", "bairro", "territorio_id", "cep", "cnae_principal",
+        "data_expiracao", "endereco", "numero", "unidade", "andar", "complemento", "bairro", "territorio_id", "cep",
+        "cnae_principal", "atividade_principal",
     )
     return _permits(spark, sf).select("entidade_id", "observacao_id", *[f"atributos.{a}" for a in kept])
 
 
+_DECOMPOSED = ", ".join(f"'{c}': '{a.replace(chr(39), chr(39) * 2)}'" for c, a in q.decomposed().items())
+
+
+@query(
+    "slug_names",
+    f"""WITH table_of AS (SELECT MAP {{{_DECOMPOSED}}} AS m)
+SELECT doc_id, trim(regexp_replace(lower(list_aggregate(list_transform(string_split(text, ''),
+  lambda c: CASE WHEN ord(c) < 128 THEN c ELSE coalesce(m[c], '') END), 'string_agg', '')), '[^a-z0-9]+', '-', 'g'), '-') AS slug
+FROM documents, table_of""",
+)
+def slug_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Slugs of whole texts; SQL looks each character up in a table made by Python's Unicode data."""
+    return v.table(spark, sf, "documents").select("doc_id", text.slug("text").alias("slug"))
+
+
 @query(
     "unmatched_names",
     f"""WITH {q.PERMITS} SELECT bairro, CAST(count(*) AS BIGINT) AS linhas FROM permits
@@ -873,8 +946,8 @@ def first_line_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stored_entity_ids",
-    f"""WITH {q.PERMITS} SELECT 'old-' || c_custkey AS entidade_id, numero_do_alvara
-FROM permits JOIN customer ON numero_do_alvara = CAST(c_custkey AS VARCHAR)""",
+    f"""WITH {q.PERMITS} SELECT CASE WHEN c_custkey IS NOT NULL THEN 'old-' || c_custkey END AS stored_id, numero_do_alvara
+FROM permits LEFT JOIN customer ON numero_do_alvara = CAST(c_custkey AS VARCHAR)""",
 )
 def stored_entity_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of a load replaced by the stored ids of the same business keys."""
@@ -884,7 +957,9 @@ def stored_entity_ids(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_custkey").cast("string").alias("identificador_fonte"),
     )
     found = normalize.with_stored_ids(_permits(spark, sf), stored)
-    return found.select("entidade_id", "atributos.numero_do_alvara")
+    # Lines without a stored entity keep the computed id, which is no number in SQL.
+    own = F.when(F.col("entidade_id").startswith("old-"), F.col("entidade_id"))
+    return found.select(own.alias("stored_id"), "atributos.numero_do_alvara")
 
 
 @query(
@@ -1043,7 +1118,7 @@ def _territory_polygons(spark: SparkSession, sf: str) -> DataFrame:
     polygons = v.rings(spark, sf).select(
         "territorio_id", geodesy.to_multipolygon(F.col("rings")).alias("geometria")
     )
-    return v.territories(spark, sf).join(polygons, "territorio_id", "left")
+    return v.all_territories(spark, sf).join(polygons, "territorio_id", "left")
 
 
 @query(
@@ -1051,7 +1126,7 @@ def _territory_polygons(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH squares AS (SELECT 670000.0::DOUBLE + n_nationkey * 1000 + dx AS x, 7183000.0::DOUBLE + dy AS y
   FROM nation, (VALUES (0, 0, 1), (0, 500, 1), (500, 500, 1), (500, 0, 1),
     (600, 0, 4), (600, 200, 4), (800, 200, 4), (800, 0, 4)) corners(dx, dy, divisor)
-  WHERE n_nationkey % divisor = 0 AND n_nationkey % 6 <> 5),
+  WHERE n_nationkey % divisor = 0),
 degrees AS (SELECT {_LON} AS lon, {_LAT} AS lat FROM squares)
 SELECT round(min(lon), 7) AS lon_min, round(min(lat), 7) AS lat_min, round(max(lon), 7) AS lon_max, round(max(lat), 7) AS lat_max FROM degrees""",
 )
@@ -1061,7 +1136,7 @@ def bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "territory_features",
-    f"""WITH {q.TERRITORIES} SELECT territorio_id, 'Feature' AS tipo, 'MultiPolygon' AS geometria, nome, nivel,
+    f"""WITH {q.ALL_TERRITORIES} SELECT territorio_id, 'Feature' AS tipo, 'MultiPolygon' AS geometria, nome, nivel,
   territorio_pai_id, cidade_id FROM territories""",
 )
 def territory_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -1080,22 +1155,23 @@ def territory_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "append_once",
-    f"WITH {q.obs()} SELECT CAST(observado_em AS VARCHAR) AS observado_em, CAST(count(*) AS BIGINT) AS n, "
-    "CAST(count(DISTINCT entidade_id) AS BIGINT) AS entidades FROM obs GROUP BY 1",
+    f"""WITH {q.obs()} SELECT entidade_id, CAST(observado_em AS VARCHAR) AS observado_em, territorio_id, cnae_principal,
+  CAST((SELECT count(*) FROM obs) AS BIGINT) AS escritas FROM obs""",
 )
 def append_once(spark: SparkSession, sf: str) -> DataFrame:
-    """Observations appended in two overlapping loads; each is stored once."""
+    """Observations appended in two overlapping loads; each is stored once, and the loads report what they wrote."""
     path = _scratch(spark)
     seen = v.observations(spark, sf).withColumn("criado_em", F.current_timestamp())
     keys = ("entidade_id", "fonte_id", "observado_em")
-    tables.append_once(seen.filter("observado_em < '1999-01-01'"), path, OBSERVATION, keys, "observado_em")
-    tables.append_once(seen, path, OBSERVATION, keys, "observado_em")
+    first = tables.append_once(seen.filter("observado_em < '1999-01-01'"), path, OBSERVATION, keys, "observado_em")
+    second = tables.append_once(seen, path, OBSERVATION, keys, "observado_em")
     stored = tables.read_appended(spark, path, OBSERVATION)
     return shown(
-        stored.groupBy("observado_em").agg(
-            F.count(F.lit(1)).alias("n"), F.count_distinct("entidade_id").alias("entidades")
+        stored.select(
+            "entidade_id", "observado_em", "atributos.territorio_id", "atributos.cnae_principal",
+            F.lit(first + second).cast("bigint").alias("escritas"),
         )
-    )
+    )
 
 
 @query(
@@ -1103,7 +1179,7 @@ def append_once(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT CASE WHEN c_custkey % 2 = 0 THEN 'old-' || c_custkey ELSE md5('customer:' || c_custkey) END AS entidade_id,
   CAST(c_custkey AS VARCHAR) AS identificador_fonte, c_custkey % 2 = 0 AS criado_antes,
   NOT (c_custkey % 2 = 0 AND c_custkey % 3 = 0) AS atualizado
-FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0""",
+FROM customer""",
 )
 def upsert_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Stored ids win, every entity of the load is marked."""
@@ -1121,7 +1197,7 @@ def upsert_entities(spark: SparkSession, sf: str) -> DataFrame:
         before.alias("criado_em"),
         before.alias("atualizado_em"),
     )
-    new = base.filter(key % 3 != 0).withColumn("entidade_id", v.entity_id("c_custkey"))
+    new = base.filter((key % 3 != 0) | (key % 2 != 0)).withColumn("entidade_id", v.entity_id("c_custkey"))
     after = upserts.entities_after(existing, new, now)
     return after.select(
         "entidade_id",
@@ -1134,7 +1210,10 @@ def upsert_entities(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "upsert_locations",
     f"""WITH {q.SECOND_PASS}
-SELECT l.entidade_id, coalesce(s.confianca, l.confianca) AS confianca, s.fonte_secundaria AS fonte_secundaria,
+SELECT l.entidade_id, round(CASE WHEN s.entidade_id IS NULL THEN l.lat ELSE s.lat END, 7) AS lat,
+  round(CASE WHEN s.entidade_id IS NULL THEN l.lon ELSE s.lon END, 7) AS lon, l.precisao_geocodebr AS precisao_geocodebr,
+  round(s.distancia_desempate_m, 4) AS distancia_desempate_m, 'geocodebr' AS fonte_primaria,
+  coalesce(s.confianca, l.confianca) AS confianca, s.fonte_secundaria AS fonte_secundaria,
   true AS geocodificado_antes, s.entidade_id IS NOT NULL AS revisado
 FROM locations l LEFT JOIN second s ON s.entidade_id = l.entidade_id""",
 )
@@ -1154,6 +1233,11 @@ def upsert_locations(spark: SparkSession, sf: str) -> DataFrame:
     after = tables.read_current(spark, path, schema)
     return after.select(
         "entidade_id",
+        F.round("lat", 7).alias("lat"),
+        F.round("lon", 7).alias("lon"),
+        "precisao_geocodebr",
+        F.round("distancia_desempate_m", 4).alias("distancia_desempate_m"),
+        "fonte_primaria",
         "confianca",
         "fonte_secundaria",
         (F.col("geocodificado_em") == first).alias("geocodificado_antes"),
@@ -1163,14 +1247,14 @@ def upsert_locations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "upsert_dimension",
-    """SELECT CAST(c_custkey AS VARCHAR) AS categoria_id, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS nome
-FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""",
+    """SELECT CAST(c_custkey AS VARCHAR) AS categoria_id,
+  CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 1 THEN upper(c_name) ELSE c_name END AS nome FROM customer""",
 )
 def upsert_dimension(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     rows = v.table(spark, sf, "customer")
     existing = rows.filter(key % 2 == 0).select(key.cast("string").alias("categoria_id"), F.col("c_name").alias("nome"))
-    new = rows.filter(key % 3 == 0).select(
+    new = rows.filter((key % 3 == 0) | (key % 2 != 0)).select(
         key.cast("string").alias("categoria_id"), F.upper("c_name").alias("nome")
     )
     return upserts.overwritten(existing, new, "categoria_id")

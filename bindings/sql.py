@@ -7,6 +7,9 @@ conditional sums.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from terrapulse.constants import HISTORY_MONTHS
 from terrapulse.sources.reference import CATEGORY_CODES
 
@@ -34,10 +37,15 @@ def start_matches(inicio: str, observado: str) -> str:
 
 CODE_MAP = f"code_map(codigo_cnae, categoria_id) AS (VALUES {_PAIRS})"
 
-TERRITORIES = """territories AS (
+ALL_TERRITORIES = """territories AS (
   SELECT 'nation-' || n_nationkey AS territorio_id, 'bairro' AS nivel, n_name AS nome,
          'region-' || n_regionkey AS territorio_pai_id, 'curitiba' AS cidade_id
-  FROM nation WHERE n_nationkey % 6 <> 5)"""
+  FROM nation)"""
+
+TERRITORIES = """territories AS (
+  SELECT CASE WHEN n_nationkey % 6 = 5 THEN 'former-' ELSE '' END || 'nation-' || n_nationkey AS territorio_id,
+         'bairro' AS nivel, n_name AS nome, 'region-' || n_regionkey AS territorio_pai_id, 'curitiba' AS cidade_id
+  FROM nation)"""
 
 SEGMENTS = """segments AS (
   SELECT DISTINCT c_mktsegment AS categoria_id,
@@ -319,6 +327,13 @@ def clean(text: str) -> str:
     return f"CASE WHEN trim({text}) NOT IN ('', '***') THEN trim({text}) END"
 
 
+def decomposed() -> dict[str, str]:
+    """Every character beyond ASCII that decomposes to some ASCII, with that."""
+    chars = (chr(i) for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF)
+    plain = ((c, unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode("ascii")) for c in chars)
+    return {c: a for c, a in plain if a}
+
+
 def slug(text: str) -> str:
     return f"trim(regexp_replace(lower(strip_accents({text})), '[^a-z0-9]+', '-', 'g'), '-')"
 
@@ -343,13 +358,17 @@ PERMITS = f"""permit_lines AS (
     'R. ' || p_type AS endereco, lpad(CAST(p_size AS VARCHAR), 5, '0') AS numero,
     CASE WHEN p_partkey % 12 = 0 THEN '***' ELSE ' ' || coalesce(CASE WHEN p_partkey % 2 = 0 THEN n_name
       ELSE translate(n_name, '{"".join(ACCENTS)}', '{"".join(ACCENTS.values())}') END, 'BAIRRO ' || (p_partkey % 30)) END AS bairro,
-    lpad(CAST(p_partkey * 91 % 100000000 AS VARCHAR), 8, '0') AS cep, {_CODES} AS cnae, p_type
+    lpad(CAST(p_partkey * 91 % 100000000 AS VARCHAR), 8, '0') AS cep, {_CODES} AS cnae, p_type,
+    CASE WHEN p_partkey % 7 = 0 THEN ' AP ' || (p_partkey % 40) || ' ' ELSE '***' END AS unidade,
+    CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_partkey % 21 AS VARCHAR) ELSE ' ' END AS andar,
+    CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS complemento
   FROM part LEFT JOIN nation ON p_partkey % 30 = n_nationkey),
 slugs AS (SELECT {slug('n_name')} AS slug, max('nation-' || n_nationkey) AS territorio_id FROM nation GROUP BY 1),
 cleaned AS (SELECT *, {clean('bairro')} AS bairro_limpo FROM permit_lines WHERE {clean('numero_do_alvara')} IS NOT NULL),
 permits AS (
   SELECT p_partkey, {clean('numero_do_alvara')} AS numero_do_alvara, {clean('nome_empresarial')} AS nome_empresarial,
     {clean('nome_fantasia')} AS nome_fantasia, {iso('inicio')} AS inicio_atividade, {iso('emissao')} AS data_emissao,
-    {iso('expiracao')} AS data_expiracao, endereco, numero, bairro_limpo AS bairro, territorio_id, cep,
-    {clean('cnae')} AS cnae_principal
+    {iso('expiracao')} AS data_expiracao, endereco, numero, {clean('unidade')} AS unidade, {clean('andar')} AS andar,
+    {clean('complemento')} AS complemento, bairro_limpo AS bairro, territorio_id, cep, {clean('cnae')} AS cnae_principal,
+    {clean('p_type')} AS atividade_principal
   FROM cleaned LEFT JOIN slugs ON {slug('bairro_limpo')} = slug)"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrapulse.constants import BUSINESS, CITY_ID, NEIGHBOURHOOD, PERMIT_SOURCE
 from terrapulse.functions.months import month_start, shift_month
+from terrapulse.functions.text import complete_search_text
 from terrapulse.schemas import ATTRIBUTES
 
 # Raw activity code of each order priority; the last two are notations without a known code.
@@ -19,8 +20,8 @@ PRIORITY_CODES = {
     "1-URGENT": "I.56.1.1-2/03-00",
     "2-HIGH": "S.96.0.2-5/01-00",
     "3-MEDIUM": "G.47.8.1-4/00-00",
-    "4-NOT SPECIFIED": "5-70.20.00",
-    "5-LOW": "X.88.8.8-8/88-88",
+    "4-NOT SPECIFIED": "7-31.40.12",
+    "5-LOW": "W.12.3.4-5/67-89",
 }
 
 
@@ -36,21 +37,24 @@ def entity_id(key: str) -> Column:
     return F.md5(F.concat(F.lit("customer:"), F.col(key)))
 
 
-def territories(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations; every sixth one has no name row to be found, so label fallbacks are seen."""
-    return (
-        table(spark, sf, "nation")
-        .filter(F.col("n_nationkey") % 6 != 5)
-        .select(
-            territory_id("n_nationkey").alias("territorio_id"),
-            F.lit(NEIGHBOURHOOD).alias("nivel"),
-            F.col("n_name").alias("nome"),
-            F.concat(F.lit("region-"), F.col("n_regionkey")).alias("territorio_pai_id"),
-            F.lit(CITY_ID).alias("cidade_id"),
-        )
+def all_territories(spark: SparkSession, sf: str) -> DataFrame:
+    """Every nation."""
+    return table(spark, sf, "nation").select(
+        territory_id("n_nationkey").alias("territorio_id"),
+        F.lit(NEIGHBOURHOOD).alias("nivel"),
+        F.col("n_name").alias("nome"),
+        F.concat(F.lit("region-"), F.col("n_regionkey")).alias("territorio_pai_id"),
+        F.lit(CITY_ID).alias("cidade_id"),
     )
 
 
+def territories(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations, for queries about label fallbacks: every sixth one is registered under another id, so its label isn't found."""
+    lost = F.pmod(F.substring("territorio_id", 8, 9).cast("int"), F.lit(6)) == 5
+    named = F.when(lost, F.concat(F.lit("former-"), "territorio_id")).otherwise(F.col("territorio_id"))
+    return all_territories(spark, sf).withColumn("territorio_id", named)
+
+
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     """Market segments as categories."""
     name = F.col("c_mktsegment")
@@ -76,6 +80,30 @@ def openings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def fine_openings(spark: SparkSession, sf: str) -> DataFrame:
+    """Start-date counts by segment and order priority: 25 categories."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    category = F.when(F.col("o_orderpriority") != "5-LOW", F.concat_ws("/", "c_mktsegment", "o_orderpriority"))
+    return (
+        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(territory_id("c_nationkey").alias("territorio_id"), category.alias("categoria_id"), month_start("day").alias("mes"))
+        .agg(F.count(F.lit(1)).alias("contagem"))
+    )
+
+
+def fine_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of the categories of `fine_openings`, but for one priority, so that a label is missing."""
+    rows = fine_openings(spark, sf).select("categoria_id").distinct().filter("categoria_id NOT LIKE '%/1-URGENT'")
+    return rows.withColumn("nome", F.lower("categoria_id"))
+
+
+def search_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate lists of search texts: the customers' names, completed by the city."""
+    names = table(spark, sf, "customer").select(entity_id("c_custkey").alias("entidade_id"), complete_search_text("c_name").alias("endereco"))
+    return candidate_lists(spark, sf).join(names, "entidade_id")
+
+
 def last_full_month(counts: DataFrame) -> Column:
     """Month before the last one with counts, as a scalar."""
     return counts.agg(shift_month(F.max("mes"), -1).alias("m")).scalar()
@@ -248,8 +276,9 @@ def raw_permits(spark: SparkSession, sf: str) -> DataFrame:
         "CNAE_ATIVIDADE_PRINCIPAL": F.concat(code, F.lit(" ")),
         "ATIVIDADE_PRINCIPAL": F.col("p_type"),
     }
-    for empty in ("UNIDADE", "ANDAR", "COMPLEMENTO"):
-        columns[empty] = F.lit("")
+    columns["UNIDADE"] = F.when(key % 7 == 0, F.concat(F.lit(" AP "), key % 40, F.lit(" "))).otherwise("***")
+    columns["ANDAR"] = F.when(key % 9 != 0, (key % 21).cast("string")).otherwise(" ")
+    columns["COMPLEMENTO"] = F.when(key % 3 == 0, F.col("p_brand")).otherwise("")
     return lines.select(
         *[c.alias(n) for n, c in columns.items()],
         F.lit("file").alias("snapshot_ref"),

@@ -23,6 +23,8 @@ UTM_CENTRAL_MERIDIAN = -51.0
 _MIN_METRES_PER_DEGREE = 110_500.0
 
 INVERSE_ITERATIONS = 5
+# Change of the longitude term in the last iteration, in radians: under a millimetre.
+_SETTLED = 1e-10
 
 
 def planar_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -37,8 +39,9 @@ def with_geodesic_distance(
 ) -> DataFrame:
     """Adds the distance on the WGS 84 ellipsoid in metres (Vincenty's inverse formula).
 
-    A fixed number of iterations, each shrinking the error by about 1/300. Every
-    step is its own projection, so shared terms are computed once per row.
+    A fixed number of iterations, each shrinking the error by about 1/300; nearly
+    opposite points, for which that is not enough, get null. Every step is its own
+    projection, so shared terms are computed once per row.
     """
     f, a = WGS84_F, WGS84_A
     b = a * (1 - f)
@@ -78,6 +81,7 @@ def with_geodesic_distance(
         df = df.withColumns(
             {
                 "_c2m": c2m,
+                "_was": c("_lam"),
                 "_lam": c("_l")
                 + (1 - cc)
                 * F.lit(f)
@@ -107,7 +111,9 @@ def with_geodesic_distance(
             )
         )
     )
-    return df.withColumn(out, F.lit(b) * c("_aa") * (c("_sig") - shift)).drop(
+    settled = F.abs(c("_lam") - c("_was")) <= _SETTLED
+    return df.withColumn(out, F.when(settled, F.lit(b) * c("_aa") * (c("_sig") - shift))).drop(
+        "_was",
         "_su1", "_cu1", "_su2", "_cu2", "_l", "_lam", "_ss", "_cs",
         "_sig", "_sa", "_c2a", "_c2m", "_uu", "_aa", "_bb",
     )

@@ -20,18 +20,13 @@ def _ascii_of(char: str) -> str:
     return unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode("ascii")
 
 
-# Compatibility decompositions of the characters of the Basic Multilingual Plane
-# that leave some ASCII: one-to-one pairs go through `translate`, longer ones
-# (Latin letters and ligatures only) through `replace`.
+# Compatibility decompositions of all characters that leave some ASCII. One-to-one
+# pairs go through `translate`; characters with longer ones are looked up singly.
 _DECOMPOSED = {
-    chr(i): _ascii_of(chr(i)) for i in range(0x80, 0xFFFF) if not 0xD800 <= i <= 0xDFFF
+    chr(i): a for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF and (a := _ascii_of(chr(i)))
 }
 _SINGLE = {c: a for c, a in _DECOMPOSED.items() if len(a) == 1}
-_LONGER = {
-    c: a
-    for c, a in _DECOMPOSED.items()
-    if len(a) > 1 and (ord(c) < 0x0250 or 0xFB00 <= ord(c) <= 0xFB06)
-}
+_LONGER = {c: a for c, a in _DECOMPOSED.items() if len(a) > 1}
 
 
 def _col(value: Column | str) -> Column:
@@ -60,14 +55,13 @@ def iso_date(value: Column | str) -> Column:
 def slug(value: Column | str) -> Column:
     """Lower-case ASCII words joined by `-`; what has no ASCII form is dropped."""
     text = _col(value)
-    plain = text
-    for char, ascii_text in _LONGER.items():
-        plain = F.replace(plain, F.lit(char), F.lit(ascii_text))
-    plain = F.translate(plain, "".join(_SINGLE), "".join(_SINGLE.values()))
-    plain = F.regexp_replace(plain, r"[^\x00-\x7F]", "")
-    # Most names are plain ASCII already and skip the long chain.
-    ascii_text = F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
-    return F.btrim(F.regexp_replace(F.lower(ascii_text), "[^a-z0-9]+", "-"), F.lit("-"))
+    singles = F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values()))
+    longer = F.create_map(*[F.lit(x) for pair in _LONGER.items() for x in pair])
+    chars = F.transform(F.split(singles, ""), lambda c: F.when(c <= "\x7f", c).otherwise(F.coalesce(longer[c], F.lit(""))))
+    # Most names are plain ASCII already, and most others are after the one-to-one pairs.
+    other = r"[^\x00-\x7F]"
+    plain = F.when(~text.rlike(other), text).when(~singles.rlike(other), singles).otherwise(F.array_join(chars, ""))
+    return F.btrim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def activity_code(value: Column | str) -> Column:

@@ -133,13 +133,13 @@ def entities_of(observations: DataFrame) -> DataFrame:
 
 
 def with_stored_ids(observations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Replaces the entity ids of a load by the stored ids of the same business keys.
+    """Replaces the entity ids of a load by the stored ids of the same business keys; unknown keys keep theirs.
 
     Only needed for stores that hold ids from elsewhere; ours follow from the key.
     """
     keys = ["tipo_entidade", "identificador_fonte"]
     stored = entities.select(*keys, F.col("entidade_id").alias("_stored"))
-    return observations.join(stored, keys).withColumn("entidade_id", F.col("_stored")).drop("_stored")
+    return observations.join(stored, keys, "left").withColumn("entidade_id", F.coalesce("_stored", "entidade_id")).drop("_stored")
 
 
 def first_lines(

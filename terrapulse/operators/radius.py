@@ -122,23 +122,34 @@ def _cell_width(band: Column, height: float) -> Column:
     return F.lit(height) / F.greatest(F.cos(F.radians(F.least(furthest, F.lit(90.0)))), F.lit(0.01))
 
 
+# Locations of a grid cell that are compared in one task.
+_CELL_ROWS = 20_000
+
+
 def radius_join(
-    locations: DataFrame, points: DataFrame, radius_m: float, *, salts: int = 8
+    locations: DataFrame, points: DataFrame, radius_m: float, *, cell_rows: int = _CELL_ROWS
 ) -> DataFrame:
     """All (search point, location) pairs at most `radius_m` apart, for many points at once.
 
     Both sides get grid cells about one radius wide; a point looks into every
     cell its radius reaches, so only locations nearby are compared: on average
-    less than four for each pair returned. Locations of a crowded cell are spread over `salts` sub-keys;
-    points are repeated for each.
+    less than four for each pair returned. A cell with more than `cell_rows`
+    locations is split into as many parts as it has that many, and points are
+    repeated for the parts of such cells only.
     """
     height = radius_m / _BOX_METRES_PER_DEGREE
     placed = (
         locations.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
         .withColumn("_y", _band(F.col("lat"), height))
         .withColumn("_x", F.floor(F.col("lon") / _cell_width(F.col("_y"), height)))
-        .withColumn("_salt", F.pmod(F.xxhash64("entidade_id"), F.lit(salts)).cast("int"))
     )
+    crowded = (
+        placed.groupBy("_y", "_x").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("_parts")).filter("_parts > 1")
+    )
+    parts = F.coalesce("_parts", F.lit(1))
+    placed = placed.join(crowded, ["_y", "_x"], "left").withColumn(
+        "_part", F.pmod(F.xxhash64("entidade_id"), parts).cast("int")
+    ).drop("_parts")
     edge = F.abs(F.col("ponto_lat")) + height
     reach = F.when(edge >= 89.0, 180.0).otherwise(
         F.lit(height) / F.cos(F.radians(F.least(edge, F.lit(89.0))))
@@ -161,10 +172,11 @@ def radius_join(
     turns = F.array(F.lit(0.0), F.lit(-360.0), F.lit(360.0))
     searched = (
         searched.withColumn("_x", F.explode(F.array_distinct(F.flatten(F.transform(turns, cells)))))
-        .withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
-        .drop("_centre", "_reach", "_width")
+        .join(crowded, ["_y", "_x"], "left")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_centre", "_reach", "_width", "_parts")
     )
-    candidates = placed.join(searched, ["_y", "_x", "_salt"]).drop("_y", "_x", "_salt")
+    candidates = placed.join(searched, ["_y", "_x", "_part"]).drop("_y", "_x", "_part")
     # A plain latitude test drops candidates before the formula.
     candidates = candidates.filter(F.abs(F.col("lat") - F.col("ponto_lat")) <= height)
     return within_geodesic_distance(candidates, "ponto_lat", "ponto_lon", "lat", "lon", radius_m)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from terrapulse.constants import BASELINE_MONTHS, RANKING_LIMIT
 from terrapulse.operators.indicators import opening_indicators
-from terrapulse.session import staged
 
 RANKING_COLUMNS = (
     "territorio_id",
@@ -22,8 +21,8 @@ RANKING_COLUMNS = (
 )
 
 
-# Up to this many ranked rows are numbered in one task.
-_ONE_TASK_ROWS = 10_000
+# Steps of a doubling of the relative change that are numbered together.
+_STEPS = 64
 
 
 def _order() -> list[Column]:
@@ -39,44 +38,38 @@ def ranked(items: DataFrame, limit: int | None = RANKING_LIMIT) -> DataFrame:
     """Position by relative change, ties by territory, and the total taken before the limit.
 
     A limit of n keeps the first n, a negative limit drops the last ones, and
-    None keeps all. A short list comes from a distributed top-n, so the numbering
-    window sees n rows only; a long one is numbered by partitions.
+    None keeps all.
     """
-    chosen = eligible(items)
-    total = chosen.agg(F.count(F.lit(1))).scalar()
-    if limit is not None and 0 <= limit <= _ONE_TASK_ROWS:
-        top = chosen.orderBy(*_order()).limit(limit)
-        numbered = top.withColumn("posicao", F.row_number().over(Window.orderBy(*_order())))
-    else:
-        numbered = numbered_by_order(chosen, _order())
-        if limit is not None:
-            last = F.lit(limit) if limit >= 0 else total + limit
-            numbered = numbered.filter(F.col("posicao") <= last)
-    return numbered.withColumn("posicao", F.col("posicao").cast("bigint")).withColumn("total", total)
-
-
-def numbered_by_order(df: DataFrame, order: list[Column], out: str = "posicao") -> DataFrame:
-    """Exact consecutive numbers over a whole sorted table, without gathering it in one task.
-
-    The range-partitioned sort is written once, so both uses see the same
-    partitions; a row's number is its place in its partition plus the rows before.
+    numbered = numbered_by_change(eligible(items))
+    if limit is not None:
+        last = F.lit(limit) if limit >= 0 else F.col("total") + limit
+        numbered = numbered.filter(F.col("posicao") <= last)
+    return numbered
+
+
+def numbered_by_change(items: DataFrame) -> DataFrame:
+    """Adds `posicao` and `total` for the whole order, without gathering the rows in one task.
+
+    Bands of the relative change are numbered apart, by a logarithmic scale that
+    rises with it: at most about 90,000 bands, whatever the rows. A row's position
+    is its place in its band plus the rows of the bands before.
     """
-    placed = staged(
-        df.orderBy(*order)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
-        .drop("_id")
-    )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pct = F.col("variacao_pct")
+    band = (-F.signum(pct) * F.floor(F.log2(1 + F.abs(pct)) * _STEPS)).cast("int")
+    rows = items.withColumn("_band", band)
+    sizes = rows.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"))
+    everything = Window.partitionBy().orderBy("_band")
     before = sizes.select(
-        "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        "_band",
+        F.coalesce(F.sum("_n").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
     )
-    # One row per sort task: bounded by the number of shuffle partitions.
+    inside = F.row_number().over(Window.partitionBy("_band").orderBy(*_order()))
     return (
-        placed.join(F.broadcast(before), "_part")
-        .withColumn(out, F.col("_before") + F.col("_row") + 1)
-        .drop("_part", "_row", "_before")
+        rows.withColumn("_inside", inside)
+        .join(F.broadcast(before), "_band")
+        .withColumn("posicao", (F.col("_before") + F.col("_inside")).cast("bigint"))
+        .drop("_band", "_inside", "_before")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,6 +192,50 @@ def territory_breakdown(
     )
 
 
+def territory_profile(
+    event_counts: DataFrame,
+    opening_counts: DataFrame,
+    territories: DataFrame,
+    categories: DataFrame,
+    *,
+    territory: str,
+    category: str | None = None,
+    period: Day | None = None,
+    start: Day | None = None,
+    end: Day | None = None,
+    limit: int = BREAKDOWN_LIMIT,
+) -> DataFrame:
+    """The whole profile of a territory in one row: summary, largest categories and the monthly series.
+
+    Start and end narrow the series only. Both lists are short: `limit` categories, one entry per month.
+    """
+    def listed_as(df: DataFrame, order: str, out: str) -> DataFrame:
+        entries = F.struct(*[F.col(c) for c in df.columns if c != "territorio_id"])
+        return df.groupBy("territorio_id").agg(F.array_sort(F.collect_list(entries), _by(order)).alias(out))
+
+    summary = territory_summary(
+        event_counts, opening_counts, territories, territory=territory, category=category, period=period
+    )
+    top = territory_breakdown(event_counts, opening_counts, categories, territory=territory, period=period, limit=limit)
+    months = commerce_metrics(event_counts, opening_counts, territory=territory, category=category, start=start, end=end)
+    return summary.join(
+        listed_as(top.withColumn("territorio_id", F.lit(territory)), "contagem", "categorias"), "territorio_id", "left"
+    ).join(listed_as(months, "mes", "serie"), "territorio_id", "left")
+
+
+def _by(field: str) -> Callable[[Column, Column], Column]:
+    """Order of list entries: months rise, counts fall and then category ids rise, without an id last."""
+    if field == "mes":
+        return lambda a, b: F.when(a["mes"] < b["mes"], -1).when(a["mes"] > b["mes"], 1).otherwise(0)
+    return lambda a, b: (
+        F.when(a["contagem"] > b["contagem"], -1)
+        .when(a["contagem"] < b["contagem"], 1)
+        .when(a["categoria_id"].isNull(), 1)
+        .when(b["categoria_id"].isNull() | (a["categoria_id"] < b["categoria_id"]), -1)
+        .otherwise(1)
+    )
+
+
 def search_points(candidate_lists: DataFrame) -> DataFrame:
     """Search addresses with their status and, when found, their point."""
     return resolve_candidates(candidate_lists)
@@ -236,6 +281,29 @@ def radius_search(
     return main_hits(hits), radius_totals(hits)
 
 
+def address_search(
+    candidate_lists: DataFrame,
+    locations: DataFrame,
+    observations: DataFrame,
+    entities: DataFrame,
+    code_map: DataFrame,
+    *,
+    address: str,
+    radius_m: float,
+    category: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The radius search around an address: its businesses and totals, both with the point that was searched.
+
+    The point is fetched first, as only values reach the file filters of the box.
+    """
+    lat, lon = point_of_address(candidate_lists, address)
+    found = radius_search(
+        locations, observations, entities, code_map, lat=lat, lon=lon, radius_m=radius_m, category=category
+    )
+    hits, totals = (df.withColumns({"ponto_lat": F.lit(lat), "ponto_lon": F.lit(lon)}) for df in found)
+    return hits, totals
+
+
 def map_view(
     territories: DataFrame, event_counts: DataFrame, **filters
 ) -> tuple[DataFrame, DataFrame]:

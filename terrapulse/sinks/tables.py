@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _VERSION = "version-"
@@ -81,23 +81,17 @@ def append_once(
     """Appends the rows whose key is not stored yet; returns how many there were.
 
     Rows of `new` have to be unique by key. `only` names the partitions `new`
-    can touch, so the stored side reads no others; rows are counted from the
-    file footers of these. Rows for several partitions are balanced before the
-    write: no swarm of small files, no single huge one. Rows for one partition
-    are written as the join leaves them, without another shuffle.
+    can touch, so the stored side reads no others. Rows are balanced by partition
+    before the write: no swarm of small files, no single huge one. They are
+    counted as they are written, so other writers don't change the count.
     """
-    days = None if only is None else [F.lit(str(v)).cast("date") for v in only]
-
-    def stored() -> DataFrame:
-        rows = read_appended(new.sparkSession, path, schema)
-        return rows if days is None else rows.filter(F.col(partition).isin(days))
-
-    before = stored().count()
-    fresh = new.join(stored().select(*keys), list(keys), "left_anti")
-    if days is None or len(days) > 1:
-        fresh = fresh.hint("rebalance", partition)
-    fresh.write.mode("append").partitionBy(partition).parquet(path)
-    return stored().count() - before
+    stored = read_appended(new.sparkSession, path, schema)
+    if only is not None:
+        stored = stored.filter(F.col(partition).isin([F.lit(str(v)).cast("date") for v in only]))
+    written = Observation()
+    fresh = new.join(stored.select(*keys), list(keys), "left_anti").hint("rebalance", partition)
+    fresh.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(partition).parquet(path)
+    return written.get["n"]
 
 
 def append(df: DataFrame, path: str) -> None:

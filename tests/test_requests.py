@@ -243,10 +243,10 @@ def inside(lat1, lon1, lat2, lon2, r):
 
 
 @pytest.mark.parametrize(
-    ("centre", "salts"),
-    [((-25.4, -49.3), 1), ((-25.4, -49.3), 8), ((66.0, 179.999), 8), ((-66.0, -179.999), 3), ((0.0, 0.0), 8), ((89.9, 0.0), 8)],
+    ("centre", "cell_rows"),
+    [((-25.4, -49.3), 1000), ((-25.4, -49.3), 10), ((66.0, 179.999), 10), ((-66.0, -179.999), 30), ((0.0, 0.0), 7), ((89.9, 0.0), 10)],
 )
-def test_radius_join_equals_brute_force(spark, centre, salts):
+def test_radius_join_equals_brute_force(spark, centre, cell_rows):
     random.seed(3)
     lat, lon = centre
 
@@ -260,6 +260,6 @@ def test_radius_join_equals_brute_force(spark, centre, salts):
     centres = [(i, *near(0.03)) for i in range(6)]
     locations = spark.createDataFrame([*places, ("null", None, lon)], "entidade_id string, lat double, lon double")
     points = spark.createDataFrame(centres, "ponto_id int, ponto_lat double, ponto_lon double")
-    pairs = radius.radius_join(locations, points, 1500, salts=salts).select("ponto_id", "entidade_id").collect()
+    pairs = radius.radius_join(locations, points, 1500, cell_rows=cell_rows).select("ponto_id", "entidade_id").collect()
     expected = sorted((i, e) for i, a, b in centres for e, c, d in places if inside(a, b, c, d, 1500))
     assert sorted(tuple(p) for p in pairs) == expected and expected
