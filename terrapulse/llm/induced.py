@@ -212,8 +212,8 @@ def _induce(text, is_s, seeds, seed_lcp, symbols, cap, in_memory) -> Iterator[tu
             down.feed(at[::-1], falling)
 
 
-def _seeds(text: np.ndarray, is_s: np.ndarray, symbols: int, in_memory: int) -> np.ndarray:
-    """The left-most S suffixes in sorted order."""
+def _seeds(text: np.ndarray, is_s: np.ndarray, symbols: int, cap: int, in_memory: int) -> np.ndarray:
+    """The left-most S suffixes, sorted by their first `cap` symbols at least."""
     left = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     rough = left[np.argsort(text[left], kind="stable")]
     none = np.zeros(len(rough), np.int16)
@@ -231,7 +231,7 @@ def _seeds(text: np.ndarray, is_s: np.ndarray, symbols: int, in_memory: int) ->
         return order
     string = np.empty(len(left), np.int64)
     string[place] = names
-    return left[_sorted_suffixes(string, int(names[-1]) + 1, in_memory)]
+    return left[_sorted_suffixes(string, int(names[-1]) + 1, cap, in_memory)]
 
 
 def _stretch_hashes(text: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -252,36 +252,46 @@ def _stretch_hashes(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted_suffixes(string: np.ndarray, symbols: int, in_memory: int) -> np.ndarray:
-    """The suffixes of a string of names with a unique smallest end, sorted."""
+def _sorted_suffixes(string: np.ndarray, symbols: int, cap: int, in_memory: int) -> np.ndarray:
+    """The suffixes of a string of names with a unique smallest end, sorted at least by what makes up the first `cap` symbols."""
     if symbols <= INDUCED_NAMES:
         is_s = _types(string)
-        seeds = _seeds(string, is_s, symbols, in_memory)
+        seeds = _seeds(string, is_s, symbols, cap, in_memory)
         blocks = [at for at, _ in _induce(string, is_s, seeds, np.zeros(len(seeds), np.int16), symbols, 0, in_memory)]
         return np.concatenate(blocks)[::-1]
-    rank, n, step = string, len(string), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] + 1
-        order = np.lexsort((after, rank))
-        new = np.concatenate([[0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0))])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] + 1 == n:
-            return order
+    # Doubling, on groups of equal names only. A name stands for two symbols at least, so enough doublings reach the cap.
+    n, step = len(string), 1
+    order = np.argsort(string, kind="stable")
+    heads = np.concatenate([[True], np.diff(string[order]) != 0])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
+    open_ = np.flatnonzero(~(heads & np.concatenate([heads[1:], [True]])))
+    while len(open_) and not (cap and 2 * step >= cap):
+        some = order[open_]
+        ahead = some + step
+        after = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        key = rank[some] * (n + 1) + after
+        by = np.argsort(key, kind="stable")
+        some, key = some[by], key[by]
+        order[open_] = some
+        heads = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[some] = open_[np.maximum.accumulate(np.where(heads, np.arange(len(some)), 0))]
+        open_ = open_[~(heads & np.concatenate([heads[1:], [True]]))]
         step *= 2
+    return order
 
 
 def sorted_with_prefixes(text: np.ndarray, symbols: int, cap: int, in_memory: int = IN_MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (position, common prefix with the position before it), from the largest suffix to the smallest.
 
-    `text` ends in its only 0. Common prefixes are exact up to `cap`.
+    `text` ends in its only 0. Common prefixes are exact up to `cap`, and suffixes
+    that share that many symbols stand together, in any order.
     """
     if len(text) == 1:
         yield np.zeros(1, np.int64), np.zeros(1, np.int16)
         return
     is_s = _types(text)
-    seeds = _seeds(text, is_s, symbols, in_memory)
+    seeds = _seeds(text, is_s, symbols, cap, in_memory)
     lcp = np.zeros(len(seeds), np.int16)
     lcp[1:] = common_prefix(text, seeds[:-1], seeds[1:], cap)
     yield from _induce(text, is_s, seeds, lcp, symbols, cap, in_memory)
