@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from terrapulse.llm.induced import sorted_with_prefixes
 from terrapulse.llm.suffix_trees import intervals
-from terrapulse.llm.windows import Kind, removed
+from terrapulse.llm.windows import Kind, passed_on, removed
 
 WINDOW = 400
 #: Stretches are sorted together up to so many bytes. One anchor's stretches are never parted: if they are more, the sort works on disk.
@@ -90,9 +90,8 @@ def _repeats(table: pa.Table) -> pa.Table:
             part, held = [], 0
     rows = [i for i in range(len(anchors)) if n[i] > 1 or i in flags]
     pairs = [flags[i] if n[i] == 1 else np.array([0, len(contents[i].as_py()) - WINDOW + 1], np.int32) for i in rows]
-    taken = table.take(pa.array(rows, pa.int64()))
     packed = pa.array([p.tobytes() for p in pairs], pa.binary())
-    return pa.table({**{c: taken.column(c) for c in ("digest", "anchor", "doc", "start")}, "first": packed, "others": packed})
+    return pa.table({**passed_on(table, rows), "first": packed, "others": packed})
 
 
 _FIELDS = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrapulse.llm.windows import Kind, removed
+from terrapulse.llm.windows import Kind, passed_on, removed
 
 WINDOW = 20
 #: Suffixes of one subtree.
@@ -106,10 +106,9 @@ def _repeats(table: pa.Table) -> pa.Table:
                 first[int(i)] = intervals(flags)
     rows = [i for i in range(len(anchors)) if n[i] > 1 or i in first]
     none = np.zeros(0, np.int32)
-    taken = table.take(pa.array(rows, pa.int64()))
     return pa.table(
         {
-            **{c: taken.column(c) for c in ("digest", "anchor", "doc", "start")},
+            **passed_on(table, rows),
             "first": pa.array([first.get(i, none).tobytes() for i in rows], pa.binary()),
             "others": pa.array([np.array([0, windows[i]], np.int32).tobytes() for i in rows], pa.binary()),
         }

@@ -13,7 +13,8 @@ windows with one anchor form a segment, one stretch of text.
 3. A back end gets the distinct segments by anchor and says which windows of each
    repeat. The answers go back to the buckets, which cover the windows' units.
 
-The text is shuffled once; the buckets' exchange is used by all three steps.
+The text is shuffled once, as the buckets' exchange serves all three steps, and so
+is each bucket's copy of a segment.
 An anchor that very many windows have (a frequent line in changing contexts) is
 refined by the smallest gram of K2 units, which no shorter frequent passage fills.
 """
@@ -62,7 +63,7 @@ ANCHORS = "shard int, bucket int, anchors binary, counts binary"
 REPEATED = "bucket int, anchors binary, frequent binary"
 SEGMENTS = "bucket int, anchor long, base long, digest binary, content binary, n long, doc long, start long, places int"
 #: What a back end returns for a segment: windows that repeat, as start and end pairs of int32, in the first segment and in all others.
-ANSWERS = "digest binary, anchor long, doc long, start long, first binary, others binary"
+ANSWERS = "digest binary, anchor long, base long, doc long, start long, buckets array<int>, first binary, others binary"
 
 
 @dataclass(frozen=True)
@@ -291,11 +292,18 @@ def _finish(kind: Kind, digest: Callable[[object, np.ndarray], tuple], fields: l
     return run
 
 
+def passed_on(table: pa.Table, rows: list[int]) -> dict[str, pa.ChunkedArray]:
+    """The columns of some segments that a back end passes on."""
+    taken = table.take(pa.array(rows, pa.int64()))
+    columns = {c: taken.column(c) for c in ("digest", "anchor", "base", "doc", "start", "buckets")}
+    return columns | {"buckets": columns["buckets"].cast(pa.list_(pa.int32()))}
+
+
 def removed(docs: DataFrame, kind: Kind, back_end: Callable[[pa.Table], pa.Table], digest, fields: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
     """One row per row of `docs`: what `digest` makes of its text and of the units that repeated windows cover (None: none).
 
-    The back end gets the distinct segments of a shard (digest, anchor, content, n,
-    doc, start, places), all those of an anchor together.
+    The back end gets the distinct segments of a shard (content, n, places and what
+    it passes on), all those of an anchor together.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -305,19 +313,24 @@ def removed(docs: DataFrame, kind: Kind, back_end: Callable[[pa.Table], pa.Table
     anchors = dealt.groupBy("bucket").applyInArrow(_send_anchors(kind, shards), ANCHORS)
     repeated = anchors.groupBy("shard").applyInArrow(_find_repeated, REPEATED)
     # One row per bucket and segment, dealt once: all segments of an anchor are in one shard, where equal ones are
-    # joined, compared and answered without moving their texts again.
+    # joined, compared and answered without moving their texts again. A segment lists its buckets, at most all of them.
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // SHARD_BYTES)))).cast("int")
     found = dealt.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_cut_out(kind), SEGMENTS)
-    found = found.withColumn("shard", shard).repartition("shard")
-    distinct = found.groupBy("shard", "anchor", "digest").agg(
-        F.first("content").alias("content"),
-        F.sum("n").alias("n"),
-        F.min(F.struct("doc", "start")).alias("at"),
-        F.max("places").alias("places"),
+    distinct = (
+        found.withColumn("shard", shard)
+        .repartition("shard")
+        .groupBy("shard", "anchor", "digest")
+        .agg(
+            F.first("content").alias("content"),
+            F.first("base").alias("base"),
+            F.sum("n").alias("n"),
+            F.min(F.struct("doc", "start")).alias("at"),
+            F.max("places").alias("places"),
+            F.collect_list("bucket").alias("buckets"),
+        )
     )
-    segments_ = distinct.select("digest", "anchor", "content", "n", "at.doc", "at.start", "places", "shard")
-    answers = segments_.groupBy("shard").applyInArrow(back_end, ANSWERS).withColumn("shard", shard)
-    routed = found.select("bucket", "shard", "digest", "base").join(answers, ["shard", "digest"])
+    answers = distinct.select("*", "at.doc", "at.start").drop("at").groupBy("shard").applyInArrow(back_end, ANSWERS)
+    routed = answers.withColumn("bucket", F.explode("buckets")).drop("buckets")
     return dealt.groupBy("bucket").cogroup(routed.groupBy("bucket")).applyInArrow(_finish(kind, digest, fields), schema)
 
 
