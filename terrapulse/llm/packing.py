@@ -29,8 +29,9 @@ from terrapulse.llm.common import cut, numbered, texts
 
 END = 0
 CAPACITY = 2048
-#: Pieces of one length that are numbered in one task, on average.
+#: Pieces that share a bucket, on average, and the least number of buckets: pieces of one length are numbered by bucket.
 RANKED_TOGETHER = 500_000
+LEAST_BUCKETS = 64
 #: More segments than this are joined by a shuffle instead of a broadcast (about 48 bytes each).
 BROADCAST_SEGMENTS = 100_000
 
@@ -166,7 +167,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] =
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     segments = plan(histogram, capacity)
-    buckets = max(1, sum(histogram.values()) // RANKED_TOGETHER)
+    buckets = max(LEAST_BUCKETS, sum(histogram.values()) // RANKED_TOGETHER)
     hashed = F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")
     ranked = numbered(pieces.withColumn("_bucket", hashed), ["length"], "_bucket", order, "_rank").drop("_bucket")
     table = spark.createDataFrame(segments, SEGMENTS)
