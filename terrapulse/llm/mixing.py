@@ -35,7 +35,7 @@ DECIMALS = 6
 #: Points of an interval that are looked at in one pass over the sources: six halvings.
 _POINTS = 63
 #: Documents of a block that are ordered in one task, on average.
-ORDERED_TOGETHER = 200_000
+ORDERED_TOGETHER = 2_000
 
 
 def words() -> Column:
@@ -43,7 +43,6 @@ def words() -> Column:
     return F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-
 @dataclass(frozen=True)
 class Mixture:
     """The exponent, and a frame of (source, docs, tokens, weight, budget, blocks, rest): whole blocks, and tokens of the last one."""
