@@ -16,6 +16,7 @@ one by one. An empty table gives no rows, and a map that deals the slots evenly.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from dataclasses import dataclass, field
 
@@ -45,7 +46,8 @@ class SlotMap:
         """The next version, for `weight` bytes in each (slot, part): the fullest shards shed slots, the emptiest take them.
 
         Overfull shards shed their smallest slots first, and the shed ones are
-        dealt largest first, so the last moves are the finest.
+        dealt largest first; then the fullest and the emptiest shard exchange
+        slots while that brings them closer.
         """
         shards, parts = shards or self.shards, {**self.parts, **(parts or {})}
         units = {(s, p): weight.get((s, p), 0) for s in {s for s, _ in self.home} for p in range(parts.get(s, 1))}
@@ -65,6 +67,7 @@ class SlotMap:
             x, s = heapq.heappop(heap)
             home[u] = s
             heapq.heappush(heap, (x + units[u], s))
+        _level(home, units, shards)
         return SlotMap(self.version + 1, shards, home, {s: n for s, n in parts.items() if n > 1})
 
     def moved(self, other: SlotMap) -> int:
@@ -86,6 +89,37 @@ class SlotMap:
         return SlotMap(version, rows[0]["shards"], home, {r["vslot"]: r["parts"] for r in rows if r["parts"] > 1})
 
 
+def _level(home: dict[tuple[int, int], int], units: dict[tuple[int, int], int], shards: int, steps: int = 400) -> None:
+    """Moves or swaps one slot at a time between the fullest and the emptiest shard, in place, at most `steps` times."""
+    members: list[list[tuple[int, tuple[int, int]]]] = [[] for _ in range(shards)]
+    for u, h in home.items():
+        members[h].append((units[u], u))
+    for m in members:
+        m.sort()
+    load = [sum(w for w, _ in m) for m in members]
+    for _ in range(steps):
+        full, empty = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
+        half = (load[full] - load[empty]) / 2
+        # (how far from half the gap, what goes over, what comes back): nothing may come back.
+        best = (half, None, None)
+        back = [(0, None), *members[empty]]
+        weights = [w for w, _ in back]
+        for out in members[full]:
+            at = bisect.bisect_left(weights, out[0] - half)
+            for k in (at - 1, at):
+                if 0 <= k < len(back):
+                    best = min(best, (abs(out[0] - weights[k] - half), out, back[k]), key=lambda b: b[0])
+        _, out, got = best
+        if out is None:
+            return
+        for unit, source, target in ((out, full, empty), *([(got, empty, full)] if got[1] is not None else [])):
+            members[source].remove(unit)
+            bisect.insort(members[target], unit)
+            load[source] -= unit[0]
+            load[target] += unit[0]
+            home[unit[1]] = target
+
+
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, vslot, spread) of each row; no text goes on from here."""
     bytes_: Column = F.coalesce(F.octet_length("text"), F.lit(0))
