@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from terrapulse.llm.common import mixed, texts
 
 #: The bound on the labelled rows of each class that training reads.
-TRAIN_ROWS = 1000
+TRAIN_ROWS = 700
 #: Hashed features of each family: words, word pairs, and characters by 3, 4 and 5 (as bytes).
 SLOTS = 1 << 15
 FAMILIES = 5
