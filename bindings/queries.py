@@ -103,19 +103,19 @@ _RANKING_SQL = f"""SELECT territorio_id, {_indicator_sql()}, posicao, total FROM
 
 @query("growth_ranking", f"WITH {q.RANKING} {_RANKING_SQL} WHERE posicao <= 10")
 def growth_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    openings = staged(v.openings(spark, sf))
+    openings = v.openings(spark, sf)
     return shown(ranking.growth_ranking(openings, v.last_full_month(openings)))
 
 
 @query("full_ranking", f"WITH {q.RANKING} {_RANKING_SQL}")
 def full_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    openings = staged(v.openings(spark, sf))
+    openings = v.openings(spark, sf)
     return shown(ranking.growth_ranking(openings, v.last_full_month(openings), limit=None))
 
 
 @query("ranking_without_tail", f"WITH {q.RANKING} {_RANKING_SQL} WHERE posicao <= total - 5")
 def ranking_without_tail(spark: SparkSession, sf: str) -> DataFrame:
-    openings = staged(v.openings(spark, sf))
+    openings = v.openings(spark, sf)
     return shown(ranking.growth_ranking(openings, v.last_full_month(openings), limit=-5))
 
 
@@ -128,7 +128,7 @@ ranking AS (SELECT *, CAST(row_number() OVER (ORDER BY variacao_pct DESC, territ
 {_RANKING_SQL} WHERE posicao <= 10""",
 )
 def category_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    openings = staged(v.openings(spark, sf))
+    openings = v.openings(spark, sf)
     return shown(
         ranking.growth_ranking(openings, v.last_full_month(openings), category="BUILDING")
     )
@@ -150,7 +150,7 @@ WHERE posicao <= 10 AND f.mes BETWEEN (SELECT ref - INTERVAL 11 MONTH FROM ref)
 def commerce_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """The whole ranking request: default period, names, sparkline (one row per point)."""
     ranked = requests.commerce_ranking(
-        staged(_event_counts(spark, sf)), staged(v.openings(spark, sf)), v.territories(spark, sf)
+        staged(_event_counts(spark, sf)), v.openings(spark, sf), v.territories(spark, sf)
     )
     points = ranked.select(*[c for c in ranked.columns if c != "serie"], F.inline("serie"))
     return shown(points)
@@ -177,7 +177,7 @@ def monthly_indicators(spark: SparkSession, sf: str) -> DataFrame:
 SELECT territorio_id, CAST(mes AS VARCHAR) AS mes, round(valor, 6) AS valor FROM filled""",
 )
 def zero_fill(spark: SparkSession, sf: str) -> DataFrame:
-    openings = staged(v.openings(spark, sf))
+    openings = v.openings(spark, sf)
     return shown(series.zero_fill(series.opening_series(openings), v.last_full_month(openings)))
 
 
@@ -188,7 +188,7 @@ SELECT territorio_id, CAST(mes AS VARCHAR) AS mes, round(valor, 6) AS valor FROM
 WHERE mes >= (SELECT ref - INTERVAL 11 MONTH FROM ref)""",
 )
 def sparkline(spark: SparkSession, sf: str) -> DataFrame:
-    openings = staged(v.openings(spark, sf))
+    openings = v.openings(spark, sf)
     return shown(series.sparkline(openings, v.last_full_month(openings)))
 
 
@@ -222,7 +222,7 @@ def series_indicators(spark: SparkSession, sf: str) -> DataFrame:
 SELECT territorio_id, {_indicator_sql()}, motivo_indisponivel FROM indicators""",
 )
 def opening_indicators(spark: SparkSession, sf: str) -> DataFrame:
-    openings = staged(v.openings(spark, sf))
+    openings = v.openings(spark, sf)
     found = indicators.opening_indicators(openings, v.last_full_month(openings))
     return shown(found.select("territorio_id", *INDICATORS))
 
@@ -279,7 +279,7 @@ def territory_summary(spark: SparkSession, sf: str) -> DataFrame:
     return shown(
         requests.territory_summary(
             staged(_event_counts(spark, sf)),
-            staged(v.openings(spark, sf)),
+            v.openings(spark, sf),
             v.territories(spark, sf),
             territory=_SUMMARY,
         )
