@@ -114,7 +114,7 @@ def test_induced_sorting(in_memory):
 def test_names_beyond_induction(monkeypatch):
     monkeypatch.setattr(induced, "INDUCED_NAMES", 1)
     text = np.append(np.tile([2, 1, 3, 1, 2, 2], 20), 0)
-    blocks = list(induced.sorted_with_prefixes(text, 4, 5))
+    blocks = list(induced.sorted_with_prefixes(text, 4, 1000))
     assert np.concatenate([b[0] for b in blocks]).tolist() == sorted(range(len(text)), key=lambda i: tuple(text[i:]), reverse=True)
 
 
