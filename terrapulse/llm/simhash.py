@@ -211,16 +211,24 @@ def links(nodes: DataFrame, n_nodes: int, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every end of an edge: the smallest vertex of its component."""
+    """(v, root) for every end of an edge: the smallest vertex of its component.
+
+    Every round hooks each vertex to its smallest neighbour and contracts the
+    trees to their roots: at most half of the vertices are left.
+    """
     steps = []
     edges = cut(edges.distinct())
     while n := edges.count():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         up = cut(up.select(F.col("a").alias("v"), F.least("a", "m").alias("p"), "n"))
-        for _ in range(2):
+        # Pointers jump, twice as far each time, until all point at the smallest vertex of their tree.
+        moved = 1
+        while moved:
             over = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            up = cut(up.join(over, "p", "left").select("v", F.coalesce("pp", "p").alias("p"), "n"))
+            up = cut(up.join(over, "p").select("v", F.col("pp").alias("p"), "n", (F.col("pp") != F.col("p")).alias("moved")))
+            moved = up.where("moved").count()
+        up = up.drop("moved")
         steps.append(up)
         for end in ("a", "b"):
             table = up.select(F.col("v").alias(end), F.col("p").alias("_p"), "n")
