@@ -9,7 +9,7 @@ that short table, which is broadcast (at most FEATURES rows): no vector is built
 and paragraphs without such a run go no further.
 
 The probability from which a family counts is calibrated on held-out variants:
-all but MISSED of them reach it. Below it, or if the class of unfamiliar licences
+all but MISSED of them reach it, and SURE is enough in any case. Below it, or if the class of unfamiliar licences
 wins, a licence is `unknown`. A family is confirmed if enough of a template's runs
 of three words are in the paragraph.
 
@@ -100,6 +100,8 @@ FEATURES = 50_000
 FREQUENT = 0.005
 #: The part of held-out variants of a family that may fall short of the calibrated probability.
 MISSED = 0.02
+#: No more than this is asked for: the few held-out variants don't support a stricter demand.
+SURE = 0.7
 #: The part of a template's runs of three words that confirms a family.
 CONFIRMED = 0.5
 
@@ -183,7 +185,7 @@ def train(docs: DataFrame) -> Scanner:
 
     judged = model.transform(vocabulary.transform(held)).where("label > 1 and prediction = label")
     sure = judged.select(F.element_at(vector_to_array("probability"), (F.col("label") + 1).cast("int")).alias("p"))
-    least = sure.agg(F.percentile_approx("p", MISSED)).first()[0]
+    least = min(SURE, sure.agg(F.percentile_approx("p", MISSED)).first()[0] or SURE)
     rows.unpersist()
     weights = model.coefficientMatrix.toArray()
     templates = [(f, t) for f, texts in TEMPLATES.items() for t in texts]
@@ -197,7 +199,7 @@ def train(docs: DataFrame) -> Scanner:
         for run in runs:
             table.setdefault(run, ([0.0] * len(classes), []))[1].append(k)
     frame = spark.createDataFrame([(r, w, t) for r, (w, t) in table.items()], "run string, weights array<double>, templates array<int>")
-    return Scanner(classes, [float(x) for x in model.interceptVector], frame, least or 0.5, [f for f, _ in templates], [len(r) for r in of])
+    return Scanner(classes, [float(x) for x in model.interceptVector], frame, least, [f for f, _ in templates], [len(r) for r in of])
 
 
 def paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
