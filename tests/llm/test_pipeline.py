@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from terrapulse.llm import quality, queries
+from terrapulse.llm import near, quality, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +67,56 @@ def test_names():
          "op7_quality_rules", "op8_simhash_near_dedup", "op9_suffix_array_dedup", "op10_secret_scans"]
     )
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_near_dedup_by_similarity(spark):
+    """The stage against brute force: texts joined by five-word similarity of 0.8 or more, most of them far apart in SimHash bits."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(20):
+        base = [word() for _ in range(rng.randint(60, 200))]
+        texts.append(base)
+        for edits in (1, 2, 3, 4, 6):
+            texts.append([word() if i in set(rng.sample(range(len(base)), edits)) else w for i, w in enumerate(base)])
+    rows = [(i, " ".join(t), "s") for i, t in enumerate(texts)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    far = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                far += (simhash.fingerprint(rows[a][1]) ^ simhash.fingerprint(rows[b][1])).bit_count() > simhash.RADIUS
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    assert far > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {i for i in range(len(sets)) if root(i) == i}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == want
+
+
+def test_near_dedup_of_a_crowded_cell(spark, monkeypatch):
+    """Joined from the cells' centres, then the rest: the same components as by all pairs."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(f"x{k}_{i}" if i in {rng.randrange(120)} else w for i, w in enumerate(base)) for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.col("doc_id").cast("string"))
+
+    def parts():
+        groups: dict = {}
+        for r in near.near_duplicates(docs).collect():
+            groups.setdefault(r["root"], set()).add(r["doc_id"])
+        return sorted(map(sorted, groups.values()))
+
+    want = parts()
+    monkeypatch.setattr(near, "PART", 7)
+    monkeypatch.setattr(near, "OPEN_PAIRS", 0)
+    monkeypatch.setattr(near, "FEW_PAIRS", 0)
+    assert parts() == want
