@@ -4,7 +4,7 @@ A paragraph is a line. Its features are the distinct runs of one to three words.
 A multinomial logistic regression with an L1 penalty is trained on variants of
 licence templates (stretches of their words), on sentences about licences of no
 known family, and on the paragraphs of NEGATIVES documents; runs that are frequent
-in those are no features, and only features with a weight are kept. So a paragraph's score is a sum over the few of its word runs in
+in those are no features (a template's own runs of three are), lines with a template's words are no examples of ordinary ones, and only features with a weight are kept. So a paragraph's score is a sum over the few of its word runs in
 that short table, which is broadcast (at most FEATURES rows): no vector is built,
 and paragraphs without such a run go no further.
 
@@ -142,6 +142,15 @@ class Scanner:
     sizes: list[int]
 
 
+def _notices(spark: SparkSession) -> tuple[list[list[str]], list[list[str]]]:
+    """The triples of each template, in order, and of each unfamiliar notice."""
+    given = [t for texts in TEMPLATES.values() for t in texts] + UNFAMILIAR
+    texts = spark.createDataFrame(list(enumerate(given)), "i int, text string")
+    runs = [r["runs"] for r in texts.orderBy("i").select(_triples(_words(F.col("text"))).alias("runs")).collect()]
+    n = len(given) - len(UNFAMILIAR)
+    return runs[:n], runs[n:]
+
+
 def _examples(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(label, words) of the variants, of unfamiliar notices and of ordinary paragraphs."""
     given = [(f, t) for f, texts in TEMPLATES.items() for t in texts] + [(UNKNOWN, t) for t in UNFAMILIAR] + [(NONE, t) for t in ORDINARY]
@@ -159,6 +168,9 @@ def _examples(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lines = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select(F.explode(F.split("text", "\n")).alias("text"))
     known = F.array([F.lit(w) for w in ("license", "licensed", "licence", "copyright", "spdx-license-identifier", "redistribution")])
     ordinary = lines.select(F.lit(NONE).alias("label"), _words(F.col("text")).alias("words")).where(~F.arrays_overlap("words", known))
+    # A line with a notice's words is no ordinary one, even if it names no licence.
+    own = F.array([F.lit(r) for r in sorted({r for runs in _notices(spark)[0] for r in runs})])
+    ordinary = ordinary.where(~F.arrays_overlap(_triples(F.col("words")), own))
     return variants.union(ordinary)
 
 
@@ -174,7 +186,9 @@ def train(docs: DataFrame) -> Scanner:
     seen, held = rows.where("not held"), rows.where("held")
     ordinary = rows.where("label = 0").count()
     count = rows.select("label", F.explode("runs").alias("run")).groupBy("run").agg(F.count_if(F.col("label") > 0).alias("n"), F.count_if(F.col("label") == 0).alias("plain"))
-    rare = count.where((F.col("n") > 0) & (F.col("plain") <= FREQUENT * ordinary)).orderBy(F.desc("n"), "run").limit(FEATURES)
+    of, _ = _notices(spark)
+    own = F.col("run").isin(sorted({r for runs in of for r in runs}))
+    rare = count.where((F.col("n") > 0) & (own | (F.col("plain") <= FREQUENT * ordinary))).orderBy(F.desc("n"), "run").limit(FEATURES)
     vocabulary = CountVectorizerModel.from_vocabulary([r["run"] for r in rare.collect()], "runs", "features").setBinary(True)
     size = {r["label"]: r["count"] for r in seen.groupBy("label").count().collect()}
     most = max(size.values())
@@ -189,8 +203,6 @@ def train(docs: DataFrame) -> Scanner:
     rows.unpersist()
     weights = model.coefficientMatrix.toArray()
     templates = [(f, t) for f, texts in TEMPLATES.items() for t in texts]
-    triples = spark.createDataFrame(list(enumerate(t for _, t in templates)), "template int, text string")
-    of = [r["runs"] for r in triples.orderBy("template").select(_triples(_words(F.col("text"))).alias("runs")).collect()]
     table: dict[str, tuple[list[float], list[int]]] = {}
     for i, run in enumerate(vocabulary.vocabulary):
         if any(w[i] for w in weights):

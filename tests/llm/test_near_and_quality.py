@@ -282,3 +282,12 @@ def test_licences(documents, corpus):
     assert [(0, "MIT", True)] in found[None] and len(rows) == len(corpus) + len(notices) + 1
     assert all(x == [] for d, _ in corpus if d is not None for x in found[d])
     assert licences.scanned(documents([]), licences.train(docs)).count() == 0
+
+
+def test_licence_lines_that_are_frequent(spark):
+    """A notice in a tenth of the documents is still found: it is neither learned as ordinary nor dropped for being frequent."""
+    mit = licences.TEMPLATES["MIT"][0]
+    rows = [(i, f"ordinary words of text {i}\nanother line {i * 7}\nthe end of {i}" + (f"\n{mit}" if i % 10 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [(x["paragraph"], x["family"], x["confirmed"]) for x in r["licences"]] for r in licences.scanned(docs).collect()}
+    assert all(found[i] == ([(3, "MIT", True)] if i % 10 == 0 else []) for i in range(200))
