@@ -11,7 +11,8 @@ and paragraphs without such a run go no further.
 The probability from which a family counts is calibrated on held-out variants:
 all but MISSED of them reach it, and SURE is enough in any case. Below it, or if the class of unfamiliar licences
 wins, a licence is `unknown`. A family is confirmed if enough of a template's runs
-of three words are in the paragraph.
+of three words are in the paragraph, and enough of those that tell it from all
+other notices.
 
 Defined results: a null or empty text has no paragraph with a licence. Every row
 gives one row, repeated ones and those without an id too. An empty table gives no
@@ -83,6 +84,23 @@ UNFAMILIAR = [
     "Released under a license of its own, see the file for details.",
     "This work is licensed to the reader under the house license, version 1.",
     "Distributed under the terms of the Sample Public Notice.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "Distributed under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "Distributed under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 ]
 ORDINARY = [
     "The license plate of the car was found near the bridge.",
@@ -102,7 +120,7 @@ FREQUENT = 0.005
 MISSED = 0.02
 #: No more than this is asked for: the few held-out variants don't support a stricter demand.
 SURE = 0.7
-#: The part of a template's runs of three words that confirms a family.
+#: The part of a template's runs of three words that confirms a family, and of those among them that no other notice has.
 CONFIRMED = 0.5
 
 
@@ -132,7 +150,12 @@ def _triples(words: Column) -> Column:
 
 @dataclass(frozen=True)
 class Scanner:
-    """Classes in order, the intercepts, the table of (run, weights, templates), the least probability, and the size of each template."""
+    """Classes in order, the intercepts, the table of (run, weights, templates), the least probability, and of each template its family and size.
+
+    `telling` counts a template's triples that no other family and no unfamiliar
+    notice has. Of such a triple, the table also lists the template's number plus
+    the number of templates.
+    """
 
     classes: list[str]
     intercepts: list[float]
@@ -140,6 +163,7 @@ class Scanner:
     least: float
     families: list[str]
     sizes: list[int]
+    telling: list[int]
 
 
 def _notices(spark: SparkSession) -> tuple[list[list[str]], list[list[str]]]:
@@ -186,7 +210,7 @@ def train(docs: DataFrame) -> Scanner:
     seen, held = rows.where("not held"), rows.where("held")
     ordinary = rows.where("label = 0").count()
     count = rows.select("label", F.explode("runs").alias("run")).groupBy("run").agg(F.count_if(F.col("label") > 0).alias("n"), F.count_if(F.col("label") == 0).alias("plain"))
-    of, _ = _notices(spark)
+    of, foreign = _notices(spark)
     own = F.col("run").isin(sorted({r for runs in of for r in runs}))
     rare = count.where((F.col("n") > 0) & (own | (F.col("plain") <= FREQUENT * ordinary))).orderBy(F.desc("n"), "run").limit(FEATURES)
     vocabulary = CountVectorizerModel.from_vocabulary([r["run"] for r in rare.collect()], "runs", "features").setBinary(True)
@@ -207,11 +231,15 @@ def train(docs: DataFrame) -> Scanner:
     for i, run in enumerate(vocabulary.vocabulary):
         if any(w[i] for w in weights):
             table[run] = ([float(w[i]) for w in weights], [])
+    families = [f for f, _ in templates]
+    telling = []
     for k, runs in enumerate(of):
+        others = {r for j, rest in enumerate(of) if families[j] != families[k] for r in rest}.union(*foreign)
         for run in runs:
-            table.setdefault(run, ([0.0] * len(classes), []))[1].append(k)
+            table.setdefault(run, ([0.0] * len(classes), []))[1].extend([k] if run in others else [k, k + len(of)])
+        telling.append(len(set(runs) - others))
     frame = spark.createDataFrame([(r, w, t) for r, (w, t) in table.items()], "run string, weights array<double>, templates array<int>")
-    return Scanner(classes, [float(x) for x in model.interceptVector], frame, least, [f for f, _ in templates], [len(r) for r in of])
+    return Scanner(classes, [float(x) for x in model.interceptVector], frame, least, families, [len(r) for r in of], telling)
 
 
 def paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
@@ -237,10 +265,14 @@ def paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
     name = F.element_at(classes, F.col("best"))
     family = F.when(name == NONE, NONE).when((name == UNKNOWN) | (F.col("probability") < scanner.least), UNKNOWN).otherwise(name)
     shared = lambda t: F.size(F.filter("hits", lambda h: h == t))
-    agreed = F.exists(
-        F.sequence(F.lit(0), F.lit(len(scanner.sizes) - 1)),
-        lambda t: (F.element_at(families, t + 1) == F.col("family")) & (shared(t) >= CONFIRMED * F.element_at(sizes, t + 1)),
-    )
+    telling = F.array(*[F.lit(n) for n in scanner.telling])
+
+    def confirms(t: Column) -> Column:
+        own = F.element_at(telling, t + 1)
+        enough = (shared(t) >= CONFIRMED * F.element_at(sizes, t + 1)) & (own > 0) & (shared(t + len(scanner.sizes)) >= CONFIRMED * own)
+        return (F.element_at(families, t + 1) == F.col("family")) & enough
+
+    agreed = F.exists(F.sequence(F.lit(0), F.lit(len(scanner.sizes) - 1)), confirms)
     return per.withColumn("family", family).select("row", "doc_id", "paragraph", "family", "probability", agreed.alias("confirmed"))
 
 

@@ -291,3 +291,15 @@ def test_licence_lines_that_are_frequent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: [(x["paragraph"], x["family"], x["confirmed"]) for x in r["licences"]] for r in licences.scanned(docs).collect()}
     assert all(found[i] == ([(3, "MIT", True)] if i % 10 == 0 else []) for i in range(200))
+
+
+def test_licences_of_near_families(spark):
+    """AGPL and LGPL notices, and a line that names no licence, do not confirm GPL; the GPL's own notice does."""
+    notice = "This program is free software: you can redistribute it and/or modify"
+    more = " it under the terms of the GNU {}General Public License"
+    rows = [(0, notice + more.format("Affero ")), (1, notice + more.format("Lesser ")), (2, notice), (3, notice + more.format(""))]
+    rows += [(10 + i, f"ordinary words of text {i}\nanother line {i * 7}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [(x["family"], x["confirmed"]) for x in r["licences"]] for r in licences.scanned(docs).collect()}
+    assert found[0] == found[1] == [("unknown", False)]
+    assert all(not confirmed for _, confirmed in found[2]) and found[3] == [("GPL", True)]
