@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapulse.llm import exact, licences, mixing, packing, quality, secrets, shards, simhash, suffix_arrays, suffix_trees
-from terrapulse.llm.sql import EXACT, MIXING
+from terrapulse.llm import dialogues, exact, lexical, licences, mixing, packing, personal, quality, secrets, shards, simhash, suffix_arrays, suffix_trees
+from terrapulse.llm.sql import EXACT, LEXICAL, MIXING
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -100,6 +100,30 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    found = personal.find_personal(docs, personal.train(docs))
+
+    def fixed(*kinds: str) -> Column:
+        return F.filter("base", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id",
+        *[F.size(fixed(kind)).cast("long").alias(f"n_{kind}") for kind in personal.KINDS],
+        F.sha2(personal.joined(F.col("base")), 256).alias("base_sha256"),
+        personal.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op12_conversation_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogues.repair(_read(spark, folder, "conversations"))
+
+
+def op13_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = lexical.search(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -111,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op11_pii": op11_pii,
+    "op12_conversation_structure_repair": op12_conversation_structure_repair,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
-ORACLES: dict[str, str] = {"op2_source_mixing": MIXING, "op5_exact_dedup": EXACT}
+ORACLES: dict[str, str] = {"op2_source_mixing": MIXING, "op5_exact_dedup": EXACT, "op13_ranked_lexical_search": LEXICAL}

@@ -55,3 +55,28 @@ with recursive d as (
 select doc_id, source, block::int as block, place, tokens::bigint as tokens, round(weight, 9) as weight
 from placed where block <= blocks or upto <= rest
 """
+
+LEXICAL = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+), filled as (select r, doc_id, terms, len(terms)::bigint as n from d where len(terms) > 0),
+total as (select count(*)::bigint as docs, sum(n)::bigint as terms from filled),
+wanted as (
+  select distinct item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+), said as (select r, unnest(terms) as term from filled),
+times as (select r, term, count(*)::bigint as tf from said where term in (select term from wanted) group by all),
+weights as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from times, total group by term, docs),
+scored as (
+  select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total.terms))))::bigint as score
+  from wanted join times using (term) join weights using (term) join filled using (r), total group by item_id, r, doc_id
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from scored where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50
+"""

@@ -64,7 +64,7 @@ def test_small_sources_repeat(spark):
 def test_names():
     assert sorted(n for n in queries.QUERIES) == sorted(
         ["op1_best_fit_packing", "op2_source_mixing", "op3_license_scans", "op4_sharding", "op5_exact_dedup", "op6_substring_dedup",
-         "op7_quality_rules", "op8_simhash_near_dedup", "op9_suffix_array_dedup", "op10_secret_scans"]
+         "op7_quality_rules", "op8_simhash_near_dedup", "op9_suffix_array_dedup", "op10_secret_scans", "op11_pii", "op12_conversation_structure_repair", "op13_ranked_lexical_search"]
     )
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
