@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from terrapulse.llm.common import mixed, texts
 
 #: The bound on the labelled rows of each class that training reads.
-TRAIN_ROWS = 700
+TRAIN_ROWS = 1000
 #: Hashed features of each family: words, word pairs, and characters by 3, 4 and 5 (as bytes).
 SLOTS = 1 << 15
 FAMILIES = 5
@@ -187,22 +187,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return NO_MODEL
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("quality = 0").orderBy(*order).limit(rows).union(known.where("quality = 1").orderBy(*order).limit(rows))
-    sample = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
+    # One text of each id, so that the rows are bounded as the ids are; combined before the shuffle.
+    chosen = texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = chosen.select("doc_id", "quality", "text")
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [vector(parse(t)) for t in part["text"]]
             yield part[["doc_id", "quality"]].assign(at=[a.tobytes() for a, _ in found], x=[x.tobytes() for _, x in found])
 
-    got = sample.mapInPandas(vectors, "doc_id long, quality int, at binary, x binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-    y = got["quality"].to_numpy(np.float64)
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    # Held as packed arrays only: one copy, taken over from Arrow.
+    got = sample.mapInPandas(vectors, f"doc_id {kind}, quality int, at binary, x binary").toArrow().sort_by("doc_id")
+    y = got.column("quality").to_numpy().astype(np.float64)
     if len(np.unique(y)) < 2:
         return NO_MODEL
-    at = [np.frombuffer(a, np.int32) for a in got["at"]]
-    x = [np.frombuffer(a, np.float32) for a in got["x"]]
+    at = [np.frombuffer(a.as_buffer(), np.int32) for a in got.column("at")]
+    x = [np.frombuffer(a.as_buffer(), np.float32) for a in got.column("x")]
     # Every fourth row of each class is held out.
-    rank = got.groupby("quality").cumcount().to_numpy()
+    rank = np.empty(len(y), np.int64)
+    for c in (0, 1):
+        rank[y == c] = np.arange((y == c).sum())
     held = rank % 4 == 3
     if any((y[held] == c).sum() == 0 for c in (0, 1)):
         held[:] = True
