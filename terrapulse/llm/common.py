@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrapulse.session import shared_folder
+from terrapulse.sinks.tables import _files
 
 #: A key is hot if it has more than one part in so many of all rows. There are at most so many hot keys, whatever the input.
 SHARE = 2000
@@ -23,22 +25,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """The written tables of an iteration, in a folder of their own below the shared one that goes when the iteration ends.
+
+    The planner knows the sizes of written tables. A checkpoint keeps the estimate
+    of its plan, which multiplies from join to join: after some rounds the number
+    itself takes the driver's memory and time. What leaves the iteration is `cut`.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4()}"
+        self.written = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        fs, where = _files(self.spark, self.folder)
+        fs.delete(where, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows, from a table."""
+        path = f"{self.folder}/{self.written}"
+        self.written += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no other column's name can clash; a null text is an empty one."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, spread: Column) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, spread: Column, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of `rows` with the one row of `table` for each key; keys are not null.
 
     `count` in `table` says how many rows have the key. Keys with more than
     1/SHARE of all `total` rows are dealt over as many parts as they have shares;
     `spread` chooses the part. The list of hot keys has at most SHARE rows and is
-    broadcast.
+    broadcast. It comes from `counts`, a written table of the keys' counts, where
+    `table` itself is costly to make.
     """
     most = max(1, total // SHARE)
     parts = F.when(F.col(count) > most, F.ceil(F.col(count) / most)).otherwise(1).cast("int")
-    hot = table.where(F.col(count) > most).select(key, parts.alias("_parts"))
+    hot = (table if counts is None else counts).where(F.col(count) > most).select(key, parts.alias("_parts"))
     dealt = (
         rows.join(F.broadcast(hot), key, "left")
         .withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int"))

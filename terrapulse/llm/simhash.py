@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import cut, join_hot
+from terrapulse.llm.common import Scratch, cut, join_hot
 
 SHINGLE = 4
 SEED = 42
@@ -216,32 +216,33 @@ def components(edges: DataFrame) -> DataFrame:
     Every round hooks each vertex to its smallest neighbour and contracts the
     trees to their roots: at most half of the vertices are left.
     """
-    steps = []
-    edges = cut(edges.distinct())
-    while n := edges.count():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        up = cut(up.select(F.col("a").alias("v"), F.least("a", "m").alias("p"), "n"))
-        # Pointers jump, twice as far each time, until all point at the smallest vertex of their tree.
-        moved = 1
-        while moved:
-            over = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            up = cut(up.join(over, "p").select("v", F.col("pp").alias("p"), "n", (F.col("pp") != F.col("p")).alias("moved")))
-            moved = up.where("moved").count()
-        up = up.drop("moved")
-        steps.append(up)
-        for end in ("a", "b"):
-            table = up.select(F.col("v").alias(end), F.col("p").alias("_p"), "n")
-            other = "b" if end == "a" else "a"
-            edges = join_hot(edges, table, end, "n", 2 * n, F.col(other)).select(F.col("_p").alias(end), other)
-        edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not steps:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    roots = steps[-1].select("v", F.col("p").alias("root"))
-    for up in reversed(steps[:-1]):
-        above = roots.select(F.col("v").alias("p"), "root")
-        roots = cut(up.join(above, "p", "left").select("v", F.coalesce("root", "p").alias("root")))
-    return roots
+    with Scratch(edges.sparkSession) as scratch:
+        steps = []
+        edges = scratch.keep(edges.distinct())
+        while n := edges.count():
+            both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            up = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+            up = scratch.keep(up.select(F.col("a").alias("v"), F.least("a", "m").alias("p"), "n"))
+            # Pointers jump, twice as far each time, until all point at the smallest vertex of their tree.
+            moved = 1
+            while moved:
+                over = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+                up = scratch.keep(up.join(over, "p").select("v", F.col("pp").alias("p"), "n", (F.col("pp") != F.col("p")).alias("moved")))
+                moved = up.where("moved").count()
+            up = up.drop("moved")
+            steps.append(up)
+            for end in ("a", "b"):
+                table = up.select(F.col("v").alias(end), F.col("p").alias("_p"), "n")
+                other = "b" if end == "a" else "a"
+                edges = join_hot(edges, table, end, "n", 2 * n, F.col(other)).select(F.col("_p").alias(end), other)
+            edges = scratch.keep(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not steps:
+            return cut(edges.select(F.col("a").alias("v"), F.col("b").alias("root")))
+        roots = steps[-1].select("v", F.col("p").alias("root"))
+        for up in reversed(steps[:-1]):
+            above = roots.select(F.col("v").alias("p"), "root")
+            roots = scratch.keep(up.join(above, "p", "left").select("v", F.coalesce("root", "p").alias("root")))
+        return cut(roots)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, payload: tuple[str, ...] = ()) -> DataFrame:

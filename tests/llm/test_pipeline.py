@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrapulse.llm import near, quality, queries, simhash
+from terrapulse.llm import mixing, near, quality, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,21 +103,71 @@ def test_near_dedup_by_similarity(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == want
 
 
-def test_near_dedup_of_a_crowded_cell(spark, monkeypatch):
-    """Joined from the cells' centres, then the rest: the same components as by all pairs."""
+def components(sets):
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    groups: dict = {}
+    for i in range(len(sets)):
+        groups.setdefault(root(i), []).append(i)
+    return sorted(groups.values())
+
+
+@pytest.mark.parametrize(("turns", "part"), [(near.TURNS, near.PART), (0, 7), (2, 3)])
+def test_near_dedup_of_a_crowded_cell(spark, monkeypatch, turns, part):
+    """Many copies with edits of their own, of two texts: the components of all pairs, whatever the number of turns."""
+    monkeypatch.setattr(near, "PART", part)
     rng = random.Random(12)
-    base = [f"w{i}" for i in range(120)]
-    texts = [" ".join(f"x{k}_{i}" if i in {rng.randrange(120)} else w for i, w in enumerate(base)) for k in range(30)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.col("doc_id").cast("string"))
+    texts = []
+    for base in ([f"w{i}" for i in range(120)], [f"v{i}" for i in range(90)]):
+        for k in range(25):
+            edits = set(rng.sample(range(len(base)), rng.randint(0, 5)))
+            texts.append([f"x{k}_{i}" if i in edits else w for i, w in enumerate(base)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    groups: dict = {}
+    for r in near.near_duplicates(docs.withColumn("key", F.col("doc_id").cast("string")), turns).collect():
+        groups.setdefault(r["root"], []).append(r["doc_id"])
+    want = components([{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts])
+    assert 2 < len(want) < 40 and sorted(map(sorted, groups.values())) == want
+
 
-    def parts():
-        groups: dict = {}
-        for r in near.near_duplicates(docs).collect():
-            groups.setdefault(r["root"], set()).add(r["doc_id"])
-        return sorted(map(sorted, groups.values()))
-
-    want = parts()
-    monkeypatch.setattr(near, "PART", 7)
-    monkeypatch.setattr(near, "OPEN_PAIRS", 0)
-    monkeypatch.setattr(near, "FEW_PAIRS", 0)
-    assert parts() == want
+def test_near_dedup_takes_few_jobs(spark):
+    """Their number does not depend on the rows, and what the driver keeps of them stays small."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.sample(base, 1) + base[: rng.randint(40, 60)] + base) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.col("doc_id").cast("string"))
+    before = spark.range(1).count() and spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    near.near_duplicates(docs).count()
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before < 300
+
+
+def test_near_dedup_of_odd_rows(spark, documents, corpus):
+    """Nulls, empty texts, repeated rows: one row of a group stays, also of rows that repeat id and text. An empty table has none."""
+    rows = corpus + [(5, "one"), (None, None), (200, "ONE"), (201, "")]
+    left = corpus_pipeline.drop_near_copies(spark, documents(rows), SF).collect()
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()} for w in words]
+    want = [min((rows[i] for i in group), key=lambda r: (r[0] is None, r[0] or 0))[0] for group in components(sets)]
+    assert sorted((r["doc_id"] for r in left), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.drop_near_copies(spark, documents([]), SF).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 3, 7])
+def test_mixing_of_repeated_rows(spark, n):
+    """Rows that repeat id and text are read as often as their source wants it, not once for each pair of them."""
+    rows = [(i, f"words of document number {i} here", "big") for i in range(60)] + [(500, "small one", "small")] * n + [(500, "small one", "big")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.mix(spark, docs, SF).groupBy("source", "doc_id").count().collect()
+    want = mixing.mixed(docs, keep=("doc_id", "source")).groupBy("source", "doc_id").count().collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
