@@ -23,8 +23,8 @@ from terrapulse.operators.categories import resolve_category, with_category_name
 from terrapulse.operators.latest import START_FIELDS, latest_observations
 
 
-def event_counts(events: DataFrame) -> DataFrame:
-    """Counted events by territory, category, month and type; nulls form groups."""
+def event_counts(events: DataFrame, *more: str) -> DataFrame:
+    """Counted events by territory, category, month and type (and more columns); nulls form groups."""
     return (
         events.filter(F.col("event_type").isin(*COUNTED_TYPES))
         .groupBy(
@@ -32,6 +32,7 @@ def event_counts(events: DataFrame) -> DataFrame:
             F.col("payload")["categoria_id"].alias("categoria_id"),
             month_start("data_evento").alias("mes"),
             "event_type",
+            *more,
         )
         .agg(F.count(F.lit(1)).alias("contagem"))
     )

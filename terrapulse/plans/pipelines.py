@@ -17,8 +17,9 @@ from terrapulse.constants import (
     PERMIT_SOURCE,
     TERRITORY_SOURCE,
 )
+from terrapulse.functions.geodesy import place_order
 from terrapulse.operators import quality
-from terrapulse.operators.counts import event_counts, opening_counts, top_report
+from terrapulse.operators.counts import by_category, event_counts, opening_counts_by_code, top_report
 from terrapulse.operators.events import (
     all_snapshot_pairs,
     event_type_histogram,
@@ -35,6 +36,7 @@ from terrapulse.operators.geocode import (
     second_pass,
     with_query_address,
 )
+from terrapulse.operators.latest import state_after, state_of
 from terrapulse.operators.normalize import (
     entities_of,
     first_lines,
@@ -44,7 +46,8 @@ from terrapulse.operators.normalize import (
     with_number,
 )
 from terrapulse.session import staged
-from terrapulse.sinks import tables
+from terrapulse.sinks import ledger, tables
+from terrapulse.sinks.buckets import BucketedTable
 from terrapulse.sinks.exports import export_geocoder_input
 from terrapulse.sinks.runs import Run, audited
 from terrapulse.sinks.upserts import added, entities_after, locations_after, overwritten
@@ -72,14 +75,19 @@ _APPENDED = {
     "pipeline_run": schemas.RUN,
 }
 _REPLACED = {
-    "entidade": schemas.ENTITY,
     "dim_territorio": schemas.TERRITORY,
     "dim_cnae": schemas.CODE,
     "dim_categoria": schemas.CATEGORY,
     "cnae_categoria_map": schemas.CODE_CATEGORY,
-    "geolocalizacao_entidade": schemas.GEOLOCATION,
     "contagem_eventos": schemas.EVENT_COUNT,
     "contagem_inicio_atividade": schemas.OPENING_COUNT,
+    "contagem_inicio_por_codigo": schemas.OPENING_COUNT_BY_CODE,
+}
+# Tables with one row for each key, merged bucket by bucket.
+_BUCKETED = {
+    "entidade": (schemas.ENTITY, ("tipo_entidade", "identificador_fonte")),
+    "geolocalizacao_entidade": (schemas.GEOLOCATION, ("entidade_id",)),
+    "ultima_observacao": (schemas.LATEST, ("entidade_id",)),
 }
 
 
@@ -89,11 +97,23 @@ class Warehouse:
 
     spark: SparkSession
     root: str
+    #: Buckets of the keyed tables when they are made.
+    buckets: int = 1024
 
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
+    def bucketed(self, table: str) -> BucketedTable:
+        schema, keys = _BUCKETED[table]
+        return BucketedTable(self.spark, self.path(table), schema, keys, self.buckets)
+
+    @property
+    def ledger(self) -> ledger.Ledger:
+        return ledger.Ledger(self.spark, self.path("particao_consumida"))
+
     def read(self, table: str) -> DataFrame:
+        if table in _BUCKETED:
+            return self.bucketed(table).read()
         if table in _APPENDED:
             return tables.read_appended(self.spark, self.path(table), _APPENDED[table])
         return tables.read_current(self.spark, self.path(table), _REPLACED[table])
@@ -165,10 +185,34 @@ def ingest_permits(
             F.lit(BUSINESS).alias("tipo_entidade"),
             F.col("atributos.numero_do_alvara").alias("identificador_fonte"),
         )
-        warehouse.replace("entidade", entities_after(warehouse.read("entidade"), entities_of(loaded)))
+        warehouse.bucketed("entidade").merge(staged(entities_of(loaded)), entities_after)
+        update_latest(warehouse, days)
     return run, unmatched_names(stored)
 
 
+def update_latest(warehouse: Warehouse, days: list[str] | None = None) -> int:
+    """Merges the observation partitions that are new since the last time into the state; returns how many.
+
+    Only those partitions and the buckets of their entities are read. A load that
+    comes again changes nothing, a late one only what it knows more of.
+    """
+    path, job = warehouse.path("observacao_entidade"), "ultima_observacao"
+    found = ledger.partitions(warehouse.spark, path, "observado_em")
+    pending = warehouse.ledger.pending(job, {d: f for d, f in found.items() if days is None or d in days})
+    if pending:
+        wanted = [F.lit(day).cast("date") for day in pending]
+        new = warehouse.read("observacao_entidade").filter(F.col("observado_em").isin(wanted))
+        warehouse.bucketed(job).merge(staged(state_of(new)), state_after)
+        warehouse.ledger.record(job, pending)
+    return len(pending)
+
+
+def latest(warehouse: Warehouse) -> DataFrame:
+    """The newest observation of each entity; requests take it in place of all observations."""
+    update_latest(warehouse)
+    return warehouse.read("ultima_observacao")
+
+
 def ingest_activity_codes(warehouse: Warehouse, path: str) -> Run:
     with warehouse.audited(CODE_SOURCE) as run:
         codes = read_activity_codes(warehouse.spark, path)
@@ -249,8 +293,22 @@ def detect_every_pair(warehouse: Warehouse) -> tuple[Run, DataFrame]:
 
 
 def rebuild_event_counts(warehouse: Warehouse) -> tuple[int, DataFrame]:
-    """Recounts all events; also returns the report of the largest groups."""
-    counts = event_counts(warehouse.read("fato_evento_territorial"))
+    """Brings the event counts up to date; also returns the report of the largest groups.
+
+    Each date's counts are kept apart. Only dates with new files are counted again,
+    in place of what they had, so the order of loads and repeated runs don't matter.
+    """
+    spark, job = warehouse.spark, "contagem_eventos_por_dia"
+    found = ledger.partitions(spark, warehouse.path("fato_evento_territorial"), "data_evento")
+    pending = warehouse.ledger.pending(job, found)
+    if pending:
+        wanted = [F.lit(day).cast("date") for day in pending]
+        events = warehouse.read("fato_evento_territorial").filter(F.col("data_evento").isin(wanted))
+        daily = event_counts(events, "data_evento").hint("rebalance", "data_evento")
+        daily.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("data_evento").parquet(warehouse.path(job))
+        warehouse.ledger.record(job, pending)
+    daily = tables.read_appended(spark, warehouse.path(job), f"{schemas.EVENT_COUNT}, data_evento date")
+    counts = daily.groupBy("territorio_id", "categoria_id", "mes", "event_type").agg(F.sum("contagem").alias("contagem"))
     rows = warehouse.replace(
         "contagem_eventos",
         counts.withColumn("calculado_em", F.current_timestamp()),
@@ -263,11 +321,38 @@ def rebuild_event_counts(warehouse: Warehouse) -> tuple[int, DataFrame]:
     )
 
 
+def _opening_counts_by_code(warehouse: Warehouse) -> DataFrame:
+    """Start dates by territory, month and code at the newest version of the state.
+
+    The stored counts name the version that they are of. What changed since is the
+    difference of the buckets that changed: an entity whose newest start moved is
+    taken out where it was and put in where it is.
+    """
+    state, table = warehouse.bucketed("ultima_observacao"), "contagem_inicio_por_codigo"
+    keys = ["territorio_id", "mes", "cnae_principal"]
+    stored = warehouse.read(table)
+    versions = state.versions()
+    if not versions:
+        return stored.filter("false")
+    at = stored.agg(F.max("versao")).first()[0]
+    if at == versions[-1]:
+        return stored
+    if at in versions:
+        changed = state.changed(at, versions[-1])
+        after = opening_counts_by_code(state.read(only=changed))
+        before = opening_counts_by_code(state.read(at, changed)).withColumn("contagem", -F.col("contagem"))
+        parts = stored.select(*keys, "contagem").unionByName(after).unionByName(before)
+        counts = parts.groupBy(*keys).agg(F.sum("contagem").alias("contagem")).filter("contagem <> 0")
+    else:
+        counts = opening_counts_by_code(state.read())
+    warehouse.replace(table, counts.withColumn("versao", F.lit(versions[-1])))
+    return warehouse.read(table)
+
+
 def rebuild_opening_counts(warehouse: Warehouse) -> tuple[int, DataFrame]:
-    """Recounts all start dates; also returns the report of the largest groups."""
-    counts = opening_counts(
-        warehouse.read("observacao_entidade"), warehouse.read("cnae_categoria_map")
-    )
+    """Brings the start-date counts up to date; also returns the report of the largest groups."""
+    update_latest(warehouse)
+    counts = by_category(_opening_counts_by_code(warehouse), warehouse.read("cnae_categoria_map"))
     rows = warehouse.replace(
         "contagem_inicio_atividade",
         counts.withColumn("calculado_em", F.current_timestamp()),
@@ -284,7 +369,7 @@ def rebuild_opening_counts(warehouse: Warehouse) -> tuple[int, DataFrame]:
 def export_first_pass(warehouse: Warehouse, path: str, limit: int | None = None) -> None:
     """Writes the addresses the first geocoder has still to look up."""
     pending = pending_first_pass(
-        warehouse.read("observacao_entidade"),
+        latest(warehouse),
         warehouse.read("entidade"),
         warehouse.read("geolocalizacao_entidade"),
         limit=limit,
@@ -293,9 +378,8 @@ def export_first_pass(warehouse: Warehouse, path: str, limit: int | None = None)
 
 
 def _store_locations(warehouse: Warehouse, new: DataFrame) -> int:
-    after = locations_after(warehouse.read("geolocalizacao_entidade"), new)
-    # Neighbours lie together, so a search box skips most files; the id splits a crowded place.
-    return warehouse.replace("geolocalizacao_entidade", after, sort_by=("lat", "lon", "entidade_id"))
+    # Neighbours lie together within a bucket, so a search box skips most of its row groups.
+    return warehouse.bucketed("geolocalizacao_entidade").merge(staged(new), locations_after, sort_by=(place_order("lat", "lon"), "entidade_id"))
 
 
 def store_first_pass(
@@ -308,7 +392,7 @@ def store_first_pass(
     """
     results = read_geocoder_results(warehouse.spark, results_path)
     pending = pending_first_pass(
-        warehouse.read("observacao_entidade"),
+        latest(warehouse),
         warehouse.read("entidade"),
         warehouse.read("geolocalizacao_entidade"),
     )
@@ -323,7 +407,7 @@ def store_first_pass(
 def export_second_pass(warehouse: Warehouse, path: str, limit: int | None = None) -> None:
     """Writes the address texts the second geocoder has still to look up."""
     pending = pending_second_pass(
-        warehouse.read("observacao_entidade"),
+        latest(warehouse),
         warehouse.read("geolocalizacao_entidade"),
         limit=limit,
     )
@@ -340,7 +424,7 @@ def store_second_pass(
     """
     candidates = read_candidates(warehouse.spark, candidates_path)
     pending = pending_second_pass(
-        warehouse.read("observacao_entidade"), warehouse.read("geolocalizacao_entidade")
+        latest(warehouse), warehouse.read("geolocalizacao_entidade")
     )
     if answered_only:
         pending = pending.join(candidates.select("entidade_id"), "entidade_id", "left_semi")

@@ -57,6 +57,10 @@ OBSERVATION = (
     f"observacao_id string, entidade_id string, observado_em date, atributos {ATTRIBUTES_TYPE}, "
     "fonte_id string, snapshot_ref string, criado_em timestamp"
 )
+LATEST = (
+    f"entidade_id string, fonte_id string, observado_em date, observacao_id string, atributos {ATTRIBUTES_TYPE}, "
+    "inicio struct<observado_em: date, observacao_id: string, territorio_id: string, inicio_atividade: string, cnae_principal: string>"
+)
 EVENT = (
     "evento_id string, entity_type string, event_type string, entidade_id string, "
     "territorio_id string, data_evento date, data_ingestao timestamp, confianca string, "
@@ -81,6 +85,7 @@ EVENT_COUNT = (
 OPENING_COUNT = (
     "territorio_id string, categoria_id string, mes date, contagem bigint, calculado_em timestamp"
 )
+OPENING_COUNT_BY_CODE = "territorio_id string, mes date, cnae_principal string, contagem bigint, versao int"
 RUN = (
     "run_id string, conector_id string, iniciado_em timestamp, finalizado_em timestamp, "
     "status string, registros_lidos bigint, registros_gravados bigint, registros_com_falha bigint"
