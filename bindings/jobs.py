@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from bindings import queries as b
 from bindings import sql as q
 from bindings import views as v
+from terrapulse.functions.text import display_address, display_name
 from terrapulse.operators import geocode
+from terrapulse.operators.latest import DISPLAY_FIELDS, latest_observations
 from terrapulse.plans import pipelines
 from terrapulse.schemas import ATTRIBUTES, PERMIT_COLUMNS
 from terrapulse.sinks import tables
+from terrapulse.sinks.upserts import entities_after
 from terrapulse.sources import geocoders
 from terrapulse.sources.reference import code_category_seed
 
@@ -138,3 +141,100 @@ def landed_geocoder_results(spark: SparkSession, sf: str) -> DataFrame:
     v.geocoder_results(spark, sf).drop("position").write.options(header="true", quoteAll="true", nullValue="", emptyValue="").csv(path)
     found = geocoders.read_geocoder_results(spark, path)
     return b.shown(found.select("entidade_id", "lat", "lon", "tipo_resultado"))
+
+
+def _loaded(spark: SparkSession, sf: str, *, start_gaps: bool = False):
+    """A warehouse whose observations come in three loads, the newest first and one of them twice; yields after each."""
+    w = pipelines.Warehouse(spark, b._scratch(spark), buckets=16)
+    w.replace("cnae_categoria_map", code_category_seed(spark))
+    seen = v.observations(spark, sf, start_gaps=start_gaps).withColumn("criado_em", F.current_timestamp())
+    third = F.year("observado_em") % 3
+    for part in (0, 2, 2, 1):
+        some = seen.filter(third == part)
+        tables.append_once(some, w.path("observacao_entidade"), pipelines.schemas.OBSERVATION, pipelines.OBSERVATION_KEY, "observado_em")
+        yield w
+
+
+@b.query("latest_maintained", b.ORACLES["latest_observation"])
+def latest_maintained(spark: SparkSession, sf: str) -> DataFrame:
+    """The state after late and repeated loads, each merged alone."""
+    for w in _loaded(spark, sf):
+        pipelines.update_latest(w)
+    found = latest_observations(pipelines.latest(w), DISPLAY_FIELDS)
+    return found.select(
+        "entidade_id",
+        display_name("nome_fantasia", "nome_empresarial").alias("nome"),
+        display_address("endereco", "numero", "bairro").alias("endereco"),
+        "cnae_principal",
+        "territorio_id",
+    )
+
+
+@b.query("counts_after_late_loads", b.ORACLES["opening_counts"])
+def counts_after_late_loads(spark: SparkSession, sf: str) -> DataFrame:
+    """Start-date counts by what each load changed: entities move when a newer start date comes."""
+    for w in _loaded(spark, sf, start_gaps=True):
+        pipelines.rebuild_opening_counts(w)
+    return b.shown(w.read("contagem_inicio_atividade").drop("calculado_em"))
+
+
+@b.query(
+    "loaded_activity_codes",
+    """SELECT lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS codigo_cnae, p_name AS descricao, chr(CAST(65 + p_size % 20 AS INTEGER)) AS secao,
+  lpad(CAST(p_partkey AS VARCHAR), 7, '0')[1:2] AS divisao, lpad(CAST(p_partkey AS VARCHAR), 7, '0')[1:3] AS grupo,
+  lpad(CAST(p_partkey AS VARCHAR), 7, '0')[1:5] AS classe, lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS subclasse FROM part""",
+)
+def loaded_activity_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Code hierarchies landed as JSON arrays in many files, loaded twice."""
+    code = F.lpad(F.col("p_partkey").cast("string"), 7, "0")
+
+    def level(name: str, key, below=None):
+        parts = [key.alias("id"), F.lit(name).alias("descricao")]
+        return F.struct(*parts, *([] if below is None else [below]))
+
+    section = level("secao", F.char(65 + F.col("p_size") % 20))
+    division = level("divisao", F.substring(code, 1, 2), section.alias("secao"))
+    group = level("grupo", F.substring(code, 1, 3), division.alias("divisao"))
+    node = F.struct(code.alias("id"), F.col("p_name").alias("descricao"), level("classe", F.substring(code, 1, 5), group.alias("grupo")).alias("classe"))
+    parts = v.table(spark, sf, "part").groupBy((F.col("p_partkey") % 64).alias("file")).agg(F.collect_list(node).alias("codes"))
+    path = b._scratch(spark)
+    parts.select("file", F.to_json("codes").alias("value")).repartition("file").write.partitionBy("file").text(path)
+    w = _warehouse(spark)
+    for _ in range(2):
+        pipelines.ingest_activity_codes(w, path)
+    return w.read("dim_cnae")
+
+
+@b.query(
+    "loaded_territories",
+    """SELECT 'curitiba-bairro-' || lower(replace(replace(n_name, ' ', '-'), '_', '-')) AS territorio_id, n_name AS nome, 'bairro' AS nivel,
+  n_nationkey % 5 <> 4 AS com_geometria FROM nation WHERE n_nationkey % 7 <> 6""",
+)
+def loaded_territories(spark: SparkSession, sf: str) -> DataFrame:
+    """Features landed as one page for each region, some without a name or an outline, loaded twice."""
+    x = F.col("n_nationkey").cast("double")
+    corner = lambda a, b: F.array(x + a, F.lit(float(b)))
+    ring = F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0), corner(0, 0))
+    name = F.when(F.col("n_nationkey") % 7 != 6, F.concat(F.lit(" "), F.col("n_name")))
+    geometry = F.when(F.col("n_nationkey") % 5 != 4, F.struct(F.array(ring).alias("rings")))
+    feature = F.struct(F.struct(F.col("n_nationkey").alias("objectid"), name.alias("nome")).alias("attributes"), geometry.alias("geometry"))
+    pages = v.table(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_list(feature).alias("features"))
+    path = b._scratch(spark)
+    pages.repartition("n_regionkey").write.partitionBy("n_regionkey").json(path)
+    w = _warehouse(spark)
+    for _ in range(2):
+        pipelines.ingest_territories(w, path)
+    return w.read("dim_territorio").select("territorio_id", "nome", "nivel", (F.size(F.coalesce("geometria", F.array())) > 0).alias("com_geometria"))
+
+
+@b.query("stored_first_pass", b.ORACLES["geocode_pass1"])
+def stored_first_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of the first geocoder landed and stored in two runs: the answered ones, then all that is still pending."""
+    *_, w = _loaded(spark, sf)
+    w.bucketed("entidade").merge(v.entities(spark, sf), entities_after)
+    path = b._scratch(spark)
+    v.geocoder_results(spark, sf).orderBy("position").drop("position").write.options(header="true", nullValue="", emptyValue="").csv(path)
+    for answered in (True, False, False):
+        pipelines.store_first_pass(w, path, answered_only=answered)
+    stored = w.read("geolocalizacao_entidade").drop("geocodificado_em", "revisado_em")
+    return b.shown(stored)
