@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapulse.schemas import PERMIT_COLUMNS, strings
+from terrapulse.sources.records import records
 
 # File name of a snapshot.
 NAME_GLOB = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-01_Alvaras_-_Base_de_Dados.csv"
@@ -71,8 +72,8 @@ def read_permits(
 
     Every column is text and is found by its name in the header; a column the
     file lacks is null. `snapshot_ref`, `observado_em` and the line position come
-    from the file. Quoted fields may hold line breaks, so a file is one task by
-    default; `multi_line=False` splits large files whose fields hold none.
+    from the file. Quoted fields may hold line breaks; a file is read by several
+    tasks all the same. `multi_line=False` saves the search for them.
     """
     if every_snapshot:
         # One row per file of the folder; files of one header are one scan.
@@ -85,21 +86,42 @@ def read_permits(
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
         by_header.setdefault(header(spark, path), []).append(path)
-    scans = [_scan(spark, names, files, multi_line) for names, files in by_header.items()]
+    scan = _record_scan if multi_line else _scan
+    scans = [scan(spark, names, files) for names, files in by_header.items()]
     if not scans:
         raise FileNotFoundError(f"no permit snapshot in {directory}")
     return reduce(DataFrame.unionByName, scans)
 
 
 def _scan(
-    spark: SparkSession, names: tuple[str, ...], paths: list[str], multi_line: bool
+    spark: SparkSession, names: tuple[str, ...], paths: list[str], multi_line: bool = False
 ) -> DataFrame:
+    """The lines as the CSV source reads them; with `multi_line` a file is one task."""
     lines = (
         spark.read.schema(strings(*[f"`{n}`" for n in names], SURPLUS))
         .options(**csv_options(multi_line))
         .csv(paths)
     )
-    placed = with_file_position(lines)
+    return _permit_columns(with_file_position(lines), names)
+
+
+def _record_scan(spark: SparkSession, names: tuple[str, ...], paths: list[str]) -> DataFrame:
+    """The same rows as a whole file gives, from records that several tasks put together."""
+    options = {k: v for k, v in csv_options().items() if k not in ("header", "encoding")}
+    found = records(spark, paths).where("line > 0")
+    fields = F.from_csv("record", strings(*[f"`{n}`" for n in names], SURPLUS), options)
+    placed = found.select(
+        fields.alias("f"), "path", "line", F.element_at(F.split("path", "/"), -1).alias("name")
+    ).select(
+        "f.*",
+        F.col("path").alias("snapshot_ref"),
+        snapshot_date(F.col("name")).alias("observado_em"),
+        F.struct("path", F.lit(0).cast("bigint").alias("block"), "line").alias("position"),
+    )
+    return _permit_columns(placed, names)
+
+
+def _permit_columns(placed: DataFrame, names: tuple[str, ...]) -> DataFrame:
     missing = {c: F.lit(None).cast("string") for c in PERMIT_COLUMNS if c not in names}
     return placed.withColumns(missing).select(
         *PERMIT_COLUMNS, SURPLUS, "snapshot_ref", "observado_em", "position"
