@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,21 +13,22 @@ from terrapulse.constants import ADDRESS_TAIL, CITY
 
 MISSING = "***"
 
-# All characters that count as white space, so no-break spaces are stripped too.
-_SPACES = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
+
+@cache
+def _spaces() -> str:
+    """All characters that count as white space, so no-break spaces are stripped too."""
+    return "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
 
 
 def _ascii_of(char: str) -> str:
     return unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode("ascii")
 
 
-# Compatibility decompositions of all characters that leave some ASCII. One-to-one
-# pairs go through `translate`; characters with longer ones are looked up singly.
-_DECOMPOSED = {
-    chr(i): a for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF and (a := _ascii_of(chr(i)))
-}
-_SINGLE = {c: a for c, a in _DECOMPOSED.items() if len(a) == 1}
-_LONGER = {c: a for c, a in _DECOMPOSED.items() if len(a) > 1}
+@cache
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """Compatibility decompositions of all characters that leave some ASCII: of one character, for `translate`, and longer ones."""
+    every = {chr(i): a for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF and (a := _ascii_of(chr(i)))}
+    return {c: a for c, a in every.items() if len(a) == 1}, {c: a for c, a in every.items() if len(a) > 1}
 
 
 def _col(value: Column | str) -> Column:
@@ -34,7 +36,7 @@ def _col(value: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    return F.btrim(_col(value), F.lit(_SPACES))
+    return F.btrim(_col(value), F.lit(_spaces()))
 
 
 def clean(value: Column | str) -> Column:
@@ -55,8 +57,9 @@ def iso_date(value: Column | str) -> Column:
 def slug(value: Column | str) -> Column:
     """Lower-case ASCII words joined by `-`; what has no ASCII form is dropped."""
     text = _col(value)
-    singles = F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values()))
-    longer = F.create_map(*[F.lit(x) for pair in _LONGER.items() for x in pair])
+    single, long = _decomposed()
+    singles = F.translate(text, "".join(single), "".join(single.values()))
+    longer = F.create_map(*[F.lit(x) for pair in long.items() for x in pair])
     chars = F.transform(F.split(singles, ""), lambda c: F.when(c <= "\x7f", c).otherwise(F.coalesce(longer[c], F.lit(""))))
     # Most names are plain ASCII already, and most others are after the one-to-one pairs.
     other = r"[^\x00-\x7F]"
