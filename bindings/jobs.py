@@ -27,7 +27,7 @@ _MONTHS = ("2026-07-01", "2026-08-01")
 
 
 def _warehouse(spark: SparkSession) -> pipelines.Warehouse:
-    return pipelines.Warehouse(spark, b._scratch(spark))
+    return pipelines.Warehouse(spark, b._scratch(spark), buckets=16)
 
 
 def _permit_file(lines: DataFrame, folder: str, month: str) -> None:
