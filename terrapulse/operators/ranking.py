@@ -21,8 +21,8 @@ RANKING_COLUMNS = (
 )
 
 
-# Steps of a doubling of the relative change that are numbered together.
-_STEPS = 64
+#: Splitters of the whole order, at most: a power of two. Each part has about one in so many of the rows.
+SPLITTERS = 4096
 
 
 def _order() -> list[Column]:
@@ -47,29 +47,56 @@ def ranked(items: DataFrame, limit: int | None = RANKING_LIMIT) -> DataFrame:
     return numbered
 
 
+def _place() -> Column:
+    """Where a row stands: rises along the order, equal changes by territory."""
+    fall = F.when(F.col("variacao_pct") == 0, F.lit(0.0)).otherwise(-F.col("variacao_pct"))
+    return F.struct(fall.alias("fall"), F.coalesce("territorio_id", F.lit("")).alias("territory"))
+
+
+def splitters(items: DataFrame, n: int = SPLITTERS) -> DataFrame:
+    """One row with at most n places in order: of the territories with one hash modulo n, the one with the least other hash."""
+    picked = items.groupBy(F.pmod(F.xxhash64("territorio_id"), F.lit(n)).alias("_slot")).agg(
+        F.min_by(_place(), F.struct(F.xxhash64("territorio_id", F.lit(n)), _place())).alias("_place")
+    )
+    return picked.agg(F.sort_array(F.collect_list("_place")).alias("_splitters"))
+
+
+def _part(place: Column, found: Column, n: int) -> Column:
+    """How many splitters are not after the place, by halving steps."""
+    steps = F.array(*[F.lit(n >> k) for k in range(n.bit_length())])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when((at + step <= F.size(found)) & (F.get(found, at + step - 1) <= place), at + step).otherwise(at),
+    )
+
+
+def parted(items: DataFrame, n: int = SPLITTERS) -> DataFrame:
+    """Adds `_part`, which rises along the order and is even over the rows: equal changes are split by territory."""
+    found = splitters(items, n).scalar()
+    return items.withColumns({"_place": _place(), "_splitters": found}).withColumn("_part", _part(F.col("_place"), F.col("_splitters"), n)).drop("_place", "_splitters")
+
+
 def numbered_by_change(items: DataFrame) -> DataFrame:
     """Adds `posicao` and `total` for the whole order, without gathering the rows in one task.
 
-    Bands of the relative change are numbered apart, by a logarithmic scale that
-    rises with it: at most about 90,000 bands, whatever the rows. A row's position
-    is its place in its band plus the rows of the bands before.
+    Parts between sampled splitters are numbered apart. A row's position is its
+    place in its part plus the rows of the parts before.
     """
-    pct = F.col("variacao_pct")
-    band = (-F.signum(pct) * F.floor(F.log2(1 + F.abs(pct)) * _STEPS)).cast("int")
-    rows = items.withColumn("_band", band)
-    sizes = rows.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"))
-    everything = Window.partitionBy().orderBy("_band")
+    rows = parted(items)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    everything = Window.partitionBy().orderBy("_part")
     before = sizes.select(
-        "_band",
+        "_part",
         F.coalesce(F.sum("_n").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_n").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
     )
-    inside = F.row_number().over(Window.partitionBy("_band").orderBy(*_order()))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*_order()))
     return (
         rows.withColumn("_inside", inside)
-        .join(F.broadcast(before), "_band")
+        .join(F.broadcast(before), "_part")
         .withColumn("posicao", (F.col("_before") + F.col("_inside")).cast("bigint"))
-        .drop("_band", "_inside", "_before")
+        .drop("_part", "_inside", "_before")
     )
 
 

@@ -188,3 +188,25 @@ def test_numbering_over_many_partitions_with_a_hot_tie(spark):
     expected = pdf.sort_values(["variacao_pct", "territorio_id"], ascending=[False, True])
     assert pdf["territorio_id"].tolist() == expected["territorio_id"].tolist()
     assert pdf["posicao"].tolist() == list(range(1, 30_001))
+
+
+@pytest.mark.parametrize("n", [ranking.SPLITTERS, 64, 1])
+def test_equal_changes_are_dealt_over_many_parts(spark, n):
+    """99 of 100 changes are equal: the parts stay even and follow the order."""
+    df = spark.range(40_000).select(
+        F.format_string("t%06d", (F.col("id") * 7919) % 40_000).alias("territorio_id"),
+        F.when(F.col("id") % 100 != 0, 0.0).otherwise(F.col("id") - 20_000.0).alias("variacao_pct"),
+    )
+    pdf = ranking.parted(df, n).toPandas().sort_values(["variacao_pct", "territorio_id"], ascending=[False, True])
+    assert pdf["_part"].is_monotonic_increasing
+    assert pdf.groupby("_part").size().max() <= max(40_000 * 12 // n, 1)
+
+
+def test_splitters_are_few_and_repeated_rows_are_numbered(spark):
+    df = spark.range(5_000).select(F.lit("one").alias("territorio_id"), F.lit(0.5).alias("variacao_pct"), F.lit(1.0).alias("valor_atual"))
+    assert len(ranking.splitters(df).first()[0]) == 1
+    assert sorted(r["posicao"] for r in ranking.numbered_by_change(df).collect()) == list(range(1, 5_001))
+    odd = spark.createDataFrame([(None, 0.0), ("a", -0.0), ("b", 0.0), ("", 0.0)], "territorio_id string, variacao_pct double")
+    got = ranking.ranked(odd).orderBy("posicao").collect()
+    assert [r["territorio_id"] for r in got][2:] == ["a", "b"] and {r["total"] for r in got} == {4}
+    assert ranking.ranked(odd.limit(0), None).count() == 0
