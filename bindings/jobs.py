@@ -14,12 +14,12 @@ from bindings import queries as b
 from bindings import sql as q
 from bindings import views as v
 from terrapulse.functions.text import display_address, display_name
-from terrapulse.operators import geocode
+from terrapulse.operators import categories, geocode
 from terrapulse.operators.latest import DISPLAY_FIELDS, latest_observations
 from terrapulse.plans import pipelines
 from terrapulse.schemas import ATTRIBUTES, PERMIT_COLUMNS
 from terrapulse.sinks import tables
-from terrapulse.sinks.upserts import entities_after
+from terrapulse.sinks.upserts import entities_after, locations_after
 from terrapulse.sources import geocoders
 from terrapulse.sources.reference import code_category_seed
 
@@ -178,6 +178,29 @@ def counts_after_late_loads(spark: SparkSession, sf: str) -> DataFrame:
     return b.shown(w.read("contagem_inicio_atividade").drop("calculado_em"))
 
 
+def _part_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return v.table(spark, sf, "part").select(
+        F.lpad(F.col("p_partkey").cast("string"), 7, "0").alias("codigo_cnae"), F.col("p_name").alias("descricao"), F.char(65 + F.col("p_size") % 20).alias("secao")
+    )
+
+
+def _landed_codes(spark: SparkSession, codes: DataFrame) -> str:
+    """The folder with the codes' hierarchies, one JSON array in each of 64 files."""
+    code = F.col("codigo_cnae")
+
+    def level(name: str, key, below=None):
+        parts = [key.alias("id"), F.lit(name).alias("descricao")]
+        return F.struct(*parts, *([] if below is None else [below]))
+
+    division = level("divisao", F.substring(code, 1, 2), level("secao", F.col("secao")).alias("secao"))
+    group = level("grupo", F.substring(code, 1, 3), division.alias("divisao"))
+    node = F.struct(code.alias("id"), "descricao", level("classe", F.substring(code, 1, 5), group.alias("grupo")).alias("classe"))
+    files = codes.groupBy(F.pmod(F.xxhash64(code), F.lit(64)).alias("file")).agg(F.collect_list(node).alias("codes"))
+    path = b._scratch(spark)
+    files.select("file", F.to_json("codes").alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return path
+
+
 @b.query(
     "loaded_activity_codes",
     """SELECT lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS codigo_cnae, p_name AS descricao, chr(CAST(65 + p_size % 20 AS INTEGER)) AS secao,
@@ -186,25 +209,28 @@ def counts_after_late_loads(spark: SparkSession, sf: str) -> DataFrame:
 )
 def loaded_activity_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Code hierarchies landed as JSON arrays in many files, loaded twice."""
-    code = F.lpad(F.col("p_partkey").cast("string"), 7, "0")
-
-    def level(name: str, key, below=None):
-        parts = [key.alias("id"), F.lit(name).alias("descricao")]
-        return F.struct(*parts, *([] if below is None else [below]))
-
-    section = level("secao", F.char(65 + F.col("p_size") % 20))
-    division = level("divisao", F.substring(code, 1, 2), section.alias("secao"))
-    group = level("grupo", F.substring(code, 1, 3), division.alias("divisao"))
-    node = F.struct(code.alias("id"), F.col("p_name").alias("descricao"), level("classe", F.substring(code, 1, 5), group.alias("grupo")).alias("classe"))
-    parts = v.table(spark, sf, "part").groupBy((F.col("p_partkey") % 64).alias("file")).agg(F.collect_list(node).alias("codes"))
-    path = b._scratch(spark)
-    parts.select("file", F.to_json("codes").alias("value")).repartition("file").write.partitionBy("file").text(path)
     w = _warehouse(spark)
+    path = _landed_codes(spark, _part_codes(spark, sf))
     for _ in range(2):
         pipelines.ingest_activity_codes(w, path)
     return w.read("dim_cnae")
 
 
+@b.query("seeded_categories", b.ORACLES["code_category"])
+def seeded_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations by the stored categories: the parts' codes and those of the seeds are loaded, then the seeds, twice."""
+    seeds = code_category_seed(spark).select("codigo_cnae", F.lit("semente").alias("descricao"), F.lit("S").alias("secao"))
+    parts = _part_codes(spark, sf)
+    both = parts.join(seeds, "codigo_cnae", "left_anti").unionByName(seeds)
+    w = _warehouse(spark)
+    pipelines.ingest_activity_codes(w, _landed_codes(spark, both))
+    for _ in range(2):
+        pipelines.seed_categories(w)
+    found = categories.resolve_category(v.observations(spark, sf), w.read("cnae_categoria_map"), F.col("atributos.cnae_principal"))
+    named = w.read("dim_categoria").select("categoria_id", F.lit(True).alias("conhecida"))
+    return found.join(named, "categoria_id", "left").select("observacao_id", F.when(F.col("conhecida"), F.col("categoria_id")).alias("categoria_id"))
+
+
 @b.query(
     "loaded_territories",
     """SELECT 'curitiba-bairro-' || lower(replace(replace(n_name, ' ', '-'), '_', '-')) AS territorio_id, n_name AS nome, 'bairro' AS nivel,
@@ -238,3 +264,24 @@ def stored_first_pass(spark: SparkSession, sf: str) -> DataFrame:
         pipelines.store_first_pass(w, path, answered_only=answered)
     stored = w.read("geolocalizacao_entidade").drop("geocodificado_em", "revisado_em")
     return b.shown(stored)
+
+
+@b.query(
+    "stored_second_pass",
+    f"""WITH {q.SECOND_PASS}, kept AS (SELECT * FROM locations WHERE entidade_id NOT IN (SELECT entidade_id FROM second))
+SELECT entidade_id, round(lat, 6) AS lat, round(lon, 6) AS lon, confianca, fonte_secundaria, precisao_geocodebr,
+  round(distancia_desempate_m, 3) AS distancia_desempate_m, true AS revisado FROM second
+UNION ALL SELECT entidade_id, round(lat, 6), round(lon, 6), confianca, NULL, precisao_geocodebr, NULL, false FROM kept""",
+)
+def stored_second_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate lists landed as JSON lines and stored in three runs over first-pass rows: the listed ones, all that still wait, nothing more."""
+    *_, w = _loaded(spark, sf)
+    w.bucketed("geolocalizacao_entidade").merge(v.first_locations(spark, sf), locations_after)
+    path = b._scratch(spark)
+    v.search_lists(spark, sf).write.json(path)
+    for answered in (True, False, False):
+        pipelines.store_second_pass(w, path, answered_only=answered)
+    stored = w.read("geolocalizacao_entidade").withColumn("distancia_desempate_m", F.round("distancia_desempate_m", 3))
+    return b.shown(
+        stored.select("entidade_id", "lat", "lon", "confianca", "fonte_secundaria", "precisao_geocodebr", "distancia_desempate_m", F.col("revisado_em").isNotNull().alias("revisado"))
+    )

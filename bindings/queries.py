@@ -119,6 +119,22 @@ def ranking_without_tail(spark: SparkSession, sf: str) -> DataFrame:
     return shown(ranking.growth_ranking(openings, v.last_full_month(openings), limit=-5))
 
 
+@query(
+    "tied_ranking",
+    """SELECT territorio_id, variacao_pct, CAST(row_number() OVER (ORDER BY variacao_pct DESC, territorio_id) AS BIGINT) AS posicao,
+  CAST(count(*) OVER () AS BIGINT) AS total
+FROM (SELECT 'order-' || o_orderkey AS territorio_id,
+        CASE WHEN o_orderkey % 100 = 0 THEN CAST(o_custkey AS DOUBLE) - 50 ELSE 0.25::DOUBLE END AS variacao_pct FROM orders)""",
+)
+def tied_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """A ranking of every order, nearly all with one change: positions go by the territory."""
+    rows = v.table(spark, sf, "orders").select(
+        F.concat(F.lit("order-"), F.col("o_orderkey")).alias("territorio_id"),
+        F.when(F.col("o_orderkey") % 100 == 0, F.col("o_custkey").cast("double") - 50).otherwise(F.lit(0.25)).alias("variacao_pct"),
+    )
+    return ranking.ranked(rows, None)
+
+
 @query(
     "category_ranking",
     f"""WITH {q.OPENINGS}, chosen AS (SELECT * FROM openings WHERE categoria_id = 'BUILDING'),
