@@ -1,9 +1,11 @@
-"""Distances, projection and polygon rings as Column arithmetic."""
+"""Distances, projection and polygon rings as Column arithmetic; geodesic distances over Arrow batches."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,89 +36,53 @@ def planar_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return F.hypot(north, east)
 
 
+def geodesic(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """Distances on the WGS 84 ellipsoid in metres (Vincenty's inverse formula), NaN where it does not settle."""
+    f, a = WGS84_F, WGS84_A
+    b = a * (1 - f)
+    with np.errstate(all="ignore"):
+        reduced1, reduced2 = (np.arctan((1 - f) * np.tan(np.radians(lat))) for lat in (lat1, lat2))
+        su1, cu1, su2, cu2 = np.sin(reduced1), np.cos(reduced1), np.sin(reduced2), np.cos(reduced2)
+        turn = lam = np.radians(lon2 - lon1)
+        for _ in range(INVERSE_ITERATIONS):
+            sin, cos = np.sin(lam), np.cos(lam)
+            cross, side = cu1 * su2 - su1 * cu2 * cos, cu2 * sin
+            ss, cs = np.sqrt(side * side + cross * cross), su1 * su2 + cu1 * cu2 * cos
+            sa = np.where(ss == 0, 0.0, cu1 * cu2 * sin / ss)
+            sig, c2a = np.arctan2(ss, cs), 1 - sa * sa
+            c2m = np.where(c2a == 0, 0.0, cs - 2 * su1 * su2 / c2a)
+            cc = f / 16 * c2a * (4 + f * (4 - 3 * c2a))
+            was, lam = lam, turn + (1 - cc) * f * sa * (sig + cc * ss * (c2m + cc * cs * (2 * c2m * c2m - 1)))
+        u = c2a * ((a * a - b * b) / (b * b))
+        aa = 1 + u / 16384 * (4096 + u * (u * (320 - 175 * u) - 768))
+        bb = u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
+        shift = bb * ss * (c2m + bb / 4 * (cs * (2 * c2m * c2m - 1) - bb / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))
+        return np.where(np.abs(lam - was) <= _SETTLED, b * aa * (sig - shift), np.nan)
+
+
 def with_geodesic_distance(
     df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, out: str = "distancia_m"
 ) -> DataFrame:
     """Adds the distance on the WGS 84 ellipsoid in metres (Vincenty's inverse formula).
 
     A fixed number of iterations, each shrinking the error by about 1/300; nearly
-    opposite points, for which that is not enough, get null. Every step is its own
-    projection, so shared terms are computed once per row.
+    opposite points, for which that is not enough, get null. The formula goes over
+    Arrow batches: as one expression its code is too long for the JVM to compile.
     """
-    f, a = WGS84_F, WGS84_A
-    b = a * (1 - f)
-    c = F.col
-
-    def reduced(lat: str) -> Column:
-        return F.atan(F.lit(1 - f) * F.tan(F.radians(lat)))
-
-    turn = F.radians(c(lon2) - c(lon1))
-    df = df.withColumns(
-        {
-            "_su1": F.sin(reduced(lat1)),
-            "_cu1": F.cos(reduced(lat1)),
-            "_su2": F.sin(reduced(lat2)),
-            "_cu2": F.cos(reduced(lat2)),
-            "_l": turn,
-            "_lam": turn,
-        }
-    )
-    for _ in range(INVERSE_ITERATIONS):
-        cross = c("_cu1") * c("_su2") - c("_su1") * c("_cu2") * F.cos("_lam")
-        side = c("_cu2") * F.sin("_lam")
-        df = df.withColumns(
-            {
-                "_ss": F.sqrt(side * side + cross * cross),
-                "_cs": c("_su1") * c("_su2") + c("_cu1") * c("_cu2") * F.cos("_lam"),
-            }
-        )
-        sa = F.when(c("_ss") == 0, 0.0).otherwise(
-            c("_cu1") * c("_cu2") * F.sin("_lam") / c("_ss")
-        )
-        df = df.withColumns({"_sig": F.atan2("_ss", "_cs"), "_sa": sa, "_c2a": 1 - sa * sa})
-        c2m = F.when(c("_c2a") == 0, 0.0).otherwise(
-            c("_cs") - 2 * c("_su1") * c("_su2") / c("_c2a")
-        )
-        cc = F.lit(f / 16) * c("_c2a") * (4 + F.lit(f) * (4 - 3 * c("_c2a")))
-        df = df.withColumns(
-            {
-                "_c2m": c2m,
-                "_was": c("_lam"),
-                "_lam": c("_l")
-                + (1 - cc)
-                * F.lit(f)
-                * c("_sa")
-                * (c("_sig") + cc * c("_ss") * (c2m + cc * c("_cs") * (2 * c2m * c2m - 1))),
-            }
-        )
-    df = df.withColumn("_uu", c("_c2a") * F.lit((a * a - b * b) / (b * b)))
-    u = c("_uu")
-    df = df.withColumns(
-        {
-            "_aa": 1 + u / 16384 * (4096 + u * (u * (320 - 175 * u) - 768)),
-            "_bb": u / 1024 * (256 + u * (u * (74 - 47 * u) - 128)),
-        }
-    )
-    m, bb = c("_c2m"), c("_bb")
-    shift = (
-        bb
-        * c("_ss")
-        * (
-            m
-            + bb
-            / 4
-            * (
-                c("_cs") * (2 * m * m - 1)
-                - bb / 6 * m * (4 * c("_ss") * c("_ss") - 3) * (4 * m * m - 3)
-            )
-        )
-    )
-    settled = F.abs(c("_lam") - c("_was")) <= _SETTLED
-    return df.withColumn(out, F.when(settled, F.lit(b) * c("_aa") * (c("_sig") - shift))).drop(
-        "_was",
-        "_su1", "_cu1", "_su2", "_cu2", "_l", "_lam", "_ss", "_cs",
-        "_sig", "_sa", "_c2a", "_c2m", "_uu", "_aa", "_bb",
-    )
+
+    @F.pandas_udf("double")
+    def distance(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+        return pd.Series(geodesic(*(x.to_numpy(np.float64) for x in (lat1, lon1, lat2, lon2))))
+
+    return df.withColumn(out, distance(*[F.col(c).cast("double") for c in (lat1, lon1, lat2, lon2)]))
+
+
+def place_in_space(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """Metres from the centre of the WGS 84 ellipsoid along its axes. No way along the surface is shorter than the straight one."""
+    e2 = WGS84_F * (2 - WGS84_F)
+    phi, lam = F.radians(lat), F.radians(lon)
+    n = F.lit(WGS84_A) / F.sqrt(1 - F.lit(e2) * F.sin(phi) * F.sin(phi))
+    return n * F.cos(phi) * F.cos(lam), n * F.cos(phi) * F.sin(lam), n * F.lit(1 - e2) * F.sin(phi)
 
 
 def within_geodesic_distance(
@@ -130,8 +96,8 @@ def within_geodesic_distance(
 ) -> DataFrame:
     """Rows at most `limit_m` apart, with the distance.
 
-    The row id keeps the filter above the projections: pushed through them, it
-    would be rewritten into one expression that repeats every shared term.
+    The row id keeps the filter above the formula: pushed through it, the distance
+    would be computed twice.
     """
     return (
         with_geodesic_distance(df, lat1, lon1, lat2, lon2, out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapulse.constants import BUSINESS, MAIN_CONFIDENCES, PERMIT_SOURCE
-from terrapulse.functions.geodesy import in_box, within_geodesic_distance
+from terrapulse.functions.geodesy import in_box, place_in_space, within_geodesic_distance
 from terrapulse.functions.text import display_address, display_name
 from terrapulse.operators.categories import resolve_category
 from terrapulse.operators.latest import DISPLAY_FIELDS
@@ -122,6 +122,14 @@ def _cell_width(band: Column, height: float) -> Column:
     return F.lit(height) / F.greatest(F.cos(F.radians(F.least(furthest, F.lit(90.0)))), F.lit(0.01))
 
 
+_AXES = ("_px", "_py", "_pz")
+
+
+def _in_space(df: DataFrame, lat: str, lon: str, mark: str) -> DataFrame:
+    axes = place_in_space(F.col(lat), F.col(lon))
+    return df.withColumns({f"{axis}{mark}": value for axis, value in zip(_AXES, axes, strict=True)})
+
+
 # Locations of a grid cell that are compared in one task.
 _CELL_ROWS = 20_000
 
@@ -135,7 +143,8 @@ def radius_join(
     cell its radius reaches, so only locations nearby are compared: on average
     less than four for each pair returned. A cell with more than `cell_rows`
     locations is split into as many parts as it has that many, and points are
-    repeated for the parts of such cells only.
+    repeated for the parts of such cells only. Straight distances, which are never
+    longer, drop candidates before the geodesic formula, nearly all but the pairs returned.
     """
     height = radius_m / _BOX_METRES_PER_DEGREE
     placed = (
@@ -150,11 +159,15 @@ def radius_join(
     placed = placed.join(crowded, ["_y", "_x"], "left").withColumn(
         "_part", F.pmod(F.xxhash64("entidade_id"), parts).cast("int")
     ).drop("_parts")
+    # Dealt by cell over a fixed number of tasks: the rows are few for what is compared, so their size says little of the work.
+    spark = locations.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = _in_space(placed, "lat", "lon", "0").repartition(tasks, "_y", "_x", "_part")
     edge = F.abs(F.col("ponto_lat")) + height
     reach = F.when(edge >= 89.0, 180.0).otherwise(
         F.lit(height) / F.cos(F.radians(F.least(edge, F.lit(89.0))))
     )
-    searched = points.withColumns({"_centre": _band(F.col("ponto_lat"), height), "_reach": reach})
+    searched = _in_space(points, "ponto_lat", "ponto_lon", "1").withColumns({"_centre": _band(F.col("ponto_lat"), height), "_reach": reach})
     searched = searched.withColumn(
         "_y", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.col("_centre") + d))
     ).withColumn("_width", _cell_width(F.col("_y"), height))
@@ -177,6 +190,7 @@ def radius_join(
         .drop("_centre", "_reach", "_width", "_parts")
     )
     candidates = placed.join(searched, ["_y", "_x", "_part"]).drop("_y", "_x", "_part")
-    # A plain latitude test drops candidates before the formula.
-    candidates = candidates.filter(F.abs(F.col("lat") - F.col("ponto_lat")) <= height)
+    straight = sum(((F.col(f"{axis}0") - F.col(f"{axis}1")) ** 2 for axis in _AXES), F.lit(0.0))
+    # The slack is far above what rounding can do to the coordinates.
+    candidates = candidates.filter(straight <= (radius_m + 0.001) ** 2).drop(*[f"{axis}{mark}" for axis in _AXES for mark in "01"])
     return within_geodesic_distance(candidates, "ponto_lat", "ponto_lon", "lat", "lon", radius_m)

@@ -263,3 +263,16 @@ def test_radius_join_equals_brute_force(spark, centre, cell_rows):
     pairs = radius.radius_join(locations, points, 1500, cell_rows=cell_rows).select("ponto_id", "entidade_id").collect()
     expected = sorted((i, e) for i, a, b in centres for e, c, d in places if inside(a, b, c, d, 1500))
     assert sorted(tuple(p) for p in pairs) == expected and expected
+
+
+def test_radius_join_runs_compiled(spark):
+    """The code of a stage stays below the 8000 bytes that the JVM compiles, the formula included, and the locations are dealt over many tasks."""
+    locations = spark.createDataFrame([(str(i), -25.4 + i / 1e5, -49.3) for i in range(50)], "entidade_id string, lat double, lon double")
+    points = spark.createDataFrame([(1, -25.4, -49.3)], "ponto_id int, ponto_lat double, ponto_lon double")
+    pairs = radius.radius_join(locations, points, 500)
+    assert pairs.rdd.getNumPartitions() >= 4
+    assert len(pairs.collect()) == 50
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(pairs._jdf.queryExecution().executedPlan())
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and max(sizes) < 8000
