@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrapulse.llm import exact, mixing, near, packing, quality
+from terrapulse.llm import exact, mixing, near, packing, quality, simhash
 from terrapulse.llm.common import cut
 from terrapulse.llm.queries import tokenizer_file
 
@@ -46,8 +46,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near dedup of texts that share 0.8 of their five-word shingles: of each component the row with the smallest id stays; rows without an id come last. Of equal rows one stays."""
-    found = near.near_duplicates(docs.select("doc_id", "text", _key().alias("key")))
+    """Near dedup by SimHash (op8's fingerprints and links), and of texts that share 0.8 of their five-word shingles, most of which lie beyond its radius.
+
+    Of each component of both kinds of links the row with the smallest id stays;
+    rows without an id come last. Of equal rows one stays.
+    """
+    keyed = docs.select("doc_id", "text", _key().alias("key"))
+    linked = simhash.near_duplicates(keyed, payload=("key",)).select("key", F.col("root").alias("joined"))
+    found = near.near_duplicates(keyed, linked=linked)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     winners = found.groupBy("root").agg(F.min(order).alias("first")).select("first.key")
     # Spark ranks before the shuffle too, so repeated rows never gather.

@@ -182,8 +182,20 @@ def _rest(inside: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, turns: int = TURNS) -> DataFrame:
-    """(doc_id, key, root) for rows of (doc_id, text, key): rows with one root are joined by steps of similar texts. Equal keys have equal texts."""
+def _given(linked: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links of the nodes whose rows have one `joined` in `linked`, each with the smallest of them."""
+    of = linked.distinct().join(rows.select("key", "digest").distinct(), "key").select("digest", "joined").distinct()
+    ends = scratch.keep(of.join(nodes.select("digest", "v"), "digest").select("v", "joined"))
+    first = scratch.keep(ends.groupBy("joined").agg(F.min("v").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return scratch.keep(join_hot(ends, first, "joined", "n", total, F.col("v")).select(F.col("v").alias("a"), "b").where("a != b"))
+
+
+def near_duplicates(docs: DataFrame, turns: int = TURNS, linked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, key, root) for rows of (doc_id, text, key): rows with one root are joined by steps of similar texts. Equal keys have equal texts.
+
+    `linked` has (key, joined): rows with one `joined` are joined beforehand, so their groups meet no comparison among themselves.
+    """
     rows = cut(_sketched(docs))
     with Scratch(docs.sparkSession) as scratch:
         nodes = rows.groupBy("digest").agg(F.min("key").alias("key"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("times"))
@@ -193,11 +205,16 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS) -> DataFrame:
         shared = scratch.keep(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         members = join_hot(dealt, shared, "cell", "n", nodes.count() * BANDS, F.col("v"))
         members = scratch.keep(members.select("cell", "v", "size", F.col("v").alias("label")))
+        edges = [scratch.keep(members.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0))]
+        if linked is not None:
+            edges = [_given(linked, rows, nodes, scratch)]
+            labels = edges[0].groupBy(F.col("a").alias("v")).agg(F.min("b").alias("first"))
+            members = members.join(labels, "v", "left").select("cell", "v", "size", F.coalesce("first", "label").alias("label"))
+            members = scratch.keep(members)
         chosen = members.select("v").distinct().join(nodes.select("v", "key"), "v")
         texts = docs.select("key", F.coalesce("text", F.lit("")).alias("_text")).join(chosen, "key")
         sets = scratch.keep(_sets(texts.select("v", "_text")).groupBy("v").agg(F.first("shingles").alias("shingles")))
 
-        edges = [scratch.keep(members.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0))]
         turn, last = 0, False
         while True:
             inside, total = _turned(members, turn, scratch)
