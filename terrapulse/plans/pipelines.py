@@ -261,14 +261,15 @@ def _store_events(
 ) -> None:
     pairs = staged(pairs)
     run.read = pairs.count()
-    events = to_events(pairs, warehouse.read("cnae_categoria_map"))
+    code_map = warehouse.read("cnae_categoria_map")
     run.written = tables.append_once(
-        events.withColumn("data_ingestao", F.current_timestamp()),
+        pairs,
         warehouse.path("fato_evento_territorial"),
         schemas.EVENT,
         EVENT_KEY,
         "data_evento",
         only=days,
+        shape=lambda some: to_events(some, code_map).withColumn("data_ingestao", F.current_timestamp()),
     )
 
 

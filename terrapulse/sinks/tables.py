@@ -9,11 +9,14 @@ table as it was: readers take the newest folder with a `_SUCCESS` mark.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from terrapulse.session import staged
+
 _VERSION = "version-"
 
 
@@ -77,19 +80,39 @@ def append_once(
     keys: tuple[str, ...],
     partition: str,
     only: Iterable[dt.date | str] | None = None,
+    shape: Callable[[DataFrame], DataFrame] | None = None,
 ) -> int:
     """Appends the rows whose key is not stored yet; returns how many there were.
 
     Rows of `new` have to be unique by key. `only` names the partitions `new`
-    can touch, so the stored side reads no others. Rows are balanced by partition
-    before the write: no swarm of small files, no single huge one. They are
-    counted as they are written, so other writers don't change the count.
+    can touch, so the stored side reads no others. Rows of partitions that are not
+    stored at all are appended as they are; of the others only the keys are compared,
+    and whole rows are looked up again for the keys that are missing, if there are
+    any: `new` may be read twice, stage it if it is costly. Rows are balanced by
+    partition before the write: no swarm of small files, no single huge one. They
+    are counted as they are written, so other writers don't change the count.
+    `shape` makes the table's rows of those of `new`, which have the partition column
+    too: where it widens rows, it runs after they are balanced.
     """
-    stored = read_appended(new.sparkSession, path, schema)
+    spark = new.sparkSession
+    stored = read_appended(spark, path, schema)
     if only is not None:
         stored = stored.filter(F.col(partition).isin([F.lit(str(v)).cast("date") for v in only]))
+    shape = shape or (lambda df: df)
+    fresh = shape(new.hint("rebalance", partition))
+    # One name for each stored partition.
+    days = [unquote(n.partition("=")[2]) for n in _child_names(spark, path) if n.startswith(f"{partition}=")]
+    if days:
+        known = F.coalesce(F.col(partition).cast("string").isin(days), F.lit(False))
+        held = shape(new.filter(known))
+        missing = staged(held.select(*keys).join(stored.select(*keys), list(keys), "left_anti").distinct())
+        fresh = shape(new.filter(~known).hint("rebalance", partition))
+        if not missing.isEmpty():
+            # Keys with nulls equal no stored key, but their own row here.
+            same = [F.col(f"_new.{k}").eqNullSafe(F.col(f"_missing.{k}")) for k in keys]
+            again = held.alias("_new").join(missing.alias("_missing"), same, "left_semi").select(*held.columns)
+            fresh = fresh.unionByName(again.hint("rebalance", partition))
     written = Observation()
-    fresh = new.join(stored.select(*keys), list(keys), "left_anti").hint("rebalance", partition)
     fresh.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(partition).parquet(path)
     return written.get["n"]
 

@@ -153,3 +153,20 @@ def test_place_order(spark):
 
     assert got == [plain(*p) for p in places]
     assert got[2] >> 12 == got[3] >> 12
+
+
+def test_append_once_of_known_and_new_partitions(spark, tmp_path):
+    """Rows of new dates and missing keys of known ones are appended, shaped; keys with nulls equal none."""
+    schema, path = "k string, d date, v string", str(tmp_path / "t")
+
+    def load(*rows):
+        new = spark.createDataFrame(rows, "k string, d string, n int").withColumn("d", F.col("d").cast("date"))
+        return tables.append_once(new, path, schema, ("k", "d"), "d", shape=lambda df: df.select("k", "d", F.concat(F.lit("v"), "n").alias("v")))
+
+    first = [("a", "2026-01-01", 1), ("b", "2026-01-01", 2), (None, "2026-01-01", 3)]
+    assert load(*first) == 3
+    assert load(*first[:2]) == 0
+    assert load(*first, ("c", "2026-01-01", 4), ("a", "2026-02-01", 5)) == 3
+    got = sorted(((r["k"], str(r["d"]), r["v"]) for r in tables.read_appended(spark, path, schema).collect()), key=str)
+    want = [("a", "2026-01-01", "v1"), ("a", "2026-02-01", "v5"), ("b", "2026-01-01", "v2"), ("c", "2026-01-01", "v4"), (None, "2026-01-01", "v3"), (None, "2026-01-01", "v3")]
+    assert got == sorted(want, key=str)
