@@ -148,9 +148,11 @@ def _loaded(spark: SparkSession, sf: str, *, start_gaps: bool = False):
     w = pipelines.Warehouse(spark, b._scratch(spark), buckets=16)
     w.replace("cnae_categoria_map", code_category_seed(spark))
     seen = v.observations(spark, sf, start_gaps=start_gaps).withColumn("criado_em", F.current_timestamp())
-    third = F.year("observado_em") % 3
+    # The landed loads, each in a folder of its own.
+    landed = b._scratch(spark)
+    seen.withColumn("carga", F.year("observado_em") % 3).write.partitionBy("carga").parquet(landed)
     for part in (0, 2, 2, 1):
-        some = seen.filter(third == part)
+        some = spark.read.schema(f"{pipelines.schemas.OBSERVATION}, carga int").parquet(landed).filter(F.col("carga") == part).drop("carga")
         tables.append_once(some, w.path("observacao_entidade"), pipelines.schemas.OBSERVATION, pipelines.OBSERVATION_KEY, "observado_em")
         yield w
 
