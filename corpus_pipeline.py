@@ -46,10 +46,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near dedup by SimHash (op8's fingerprints and links), and of texts that share 0.8 of their five-word shingles, most of which lie beyond its radius.
+    """Near dedup of texts that share 0.8 of their five-word shingles: SimHash groups (op8) are compared exactly first, then what lies beyond its radius.
 
-    Of each component of both kinds of links the row with the smallest id stays;
-    rows without an id come last. Of equal rows one stays.
+    Of each component the row with the smallest id stays; rows without an id come
+    last. Of equal rows one stays.
     """
     keyed = docs.select("doc_id", "text", _key().alias("key"))
     linked = simhash.near_duplicates(keyed, payload=("key",)).select("key", F.col("root").alias("joined"))

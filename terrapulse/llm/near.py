@@ -194,7 +194,7 @@ def _given(linked: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratc
 def near_duplicates(docs: DataFrame, turns: int = TURNS, linked: DataFrame | None = None) -> DataFrame:
     """(doc_id, key, root) for rows of (doc_id, text, key): rows with one root are joined by steps of similar texts. Equal keys have equal texts.
 
-    `linked` has (key, joined): rows with one `joined` are joined beforehand, so their groups meet no comparison among themselves.
+    `linked` has (key, joined): rows with one `joined` are compared with one of them beforehand, and the turns start from what is similar.
     """
     rows = cut(_sketched(docs))
     with Scratch(docs.sparkSession) as scratch:
@@ -205,16 +205,19 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS, linked: DataFrame | Non
         shared = scratch.keep(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         members = join_hot(dealt, shared, "cell", "n", nodes.count() * BANDS, F.col("v"))
         members = scratch.keep(members.select("cell", "v", "size", F.col("v").alias("label")))
+        given = None if linked is None else _given(linked, rows, nodes, scratch)
+        wanted = members.select("v") if given is None else members.select("v").union(given.select("a")).union(given.select("b"))
+        chosen = wanted.distinct().join(nodes.select("v", "key"), "v")
+        texts = docs.select("key", F.coalesce("text", F.lit("")).alias("_text")).join(chosen, "key")
+        sets = scratch.keep(_sets(texts.select("v", "_text")).groupBy("v").agg(F.first("shingles").alias("shingles")))
+
         edges = [scratch.keep(members.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0))]
-        if linked is not None:
-            edges = [_given(linked, rows, nodes, scratch)]
+        if given is not None:
+            counts = scratch.keep(given.groupBy(F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+            edges = [scratch.keep(verified(given, sets, counts).select("a", "b"))]
             labels = edges[0].groupBy(F.col("a").alias("v")).agg(F.min("b").alias("first"))
             members = members.join(labels, "v", "left").select("cell", "v", "size", F.coalesce("first", "label").alias("label"))
             members = scratch.keep(members)
-        chosen = members.select("v").distinct().join(nodes.select("v", "key"), "v")
-        texts = docs.select("key", F.coalesce("text", F.lit("")).alias("_text")).join(chosen, "key")
-        sets = scratch.keep(_sets(texts.select("v", "_text")).groupBy("v").agg(F.first("shingles").alias("shingles")))
-
         turn, last = 0, False
         while True:
             inside, total = _turned(members, turn, scratch)
