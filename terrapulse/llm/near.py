@@ -114,11 +114,10 @@ def _fits(a: str, b: str) -> Column:
     return (F.least(a, b) * down) >= (F.greatest(a, b) * up)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b, and more columns) whose sets are similar. `counts` says how many pairs have a node as b."""
+def verified(pairs: DataFrame, sets: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """Those of the `total` distinct pairs (a, b, and more columns) whose sets are similar. `counts` says how many pairs have a node as b."""
     found = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("set_a")), "a")
     table = sets.join(counts, "v").select(F.col("v").alias("b"), F.col("shingles").alias("set_b"), "n")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = join_hot(found, table, "b", "n", total, F.col("a"), counts.withColumnRenamed("v", "b")).drop("n")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return found.where(_alike(both, F.size("set_a"), F.size("set_b"))).drop("set_a", "set_b")
@@ -126,10 +125,10 @@ def verified(pairs: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFrame:
 
 def _compared(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
     """(a, b, la, lb): the similar ones of the pairs, each of which may come from several cells, with the ends' labels; how many they are, of how many."""
-    pairs = scratch.keep(pairs.groupBy("a", "b").agg(F.any_value("la").alias("la"), F.any_value("lb").alias("lb")))
+    pairs, of = scratch.told(pairs.groupBy("a", "b").agg(F.any_value("la").alias("la"), F.any_value("lb").alias("lb")), n=F.count(F.lit(1)))
     counts = scratch.keep(pairs.groupBy(F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("n")))
-    found = scratch.keep(verified(pairs, sets, counts))
-    return found, found.count(), pairs.count()
+    found, are = scratch.told(verified(pairs, sets, counts, of["n"]), n=F.count(F.lit(1)))
+    return found, are["n"], of["n"]
 
 
 def _turned(members: DataFrame, turn: int, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -137,9 +136,9 @@ def _turned(members: DataFrame, turn: int, scratch: Scratch) -> tuple[DataFrame,
     mark = F.struct(F.xxhash64(F.lit(turn), "v").alias("mark"), "v", "size")
     per = members.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("m"), F.min(mark).alias("pick"))
     cells = per.groupBy("cell").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label", "pick")).alias("top")).where("n > top.m")
-    cells = scratch.keep(cells.select("cell", "n", F.col("top.label").alias("main"), F.col("top.pick.v").alias("centre"), F.col("top.pick.size").alias("size2")))
-    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return scratch.keep(join_hot(members, cells, "cell", "n", total, F.col("v"))), total
+    cells = cells.select("cell", "n", F.col("top.label").alias("main"), F.col("top.pick.v").alias("centre"), F.col("top.pick.size").alias("size2"))
+    cells, of = scratch.told(cells, total=F.sum("n"))
+    return scratch.keep(join_hot(members, cells, "cell", "n", of["total"], F.col("v"))), of["total"]
 
 
 def _relabelled(inside: DataFrame, found: DataFrame, total: int, scratch: Scratch) -> DataFrame:
@@ -182,13 +181,12 @@ def _rest(inside: DataFrame) -> DataFrame:
     )
 
 
-def _given(linked: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): links of the nodes whose rows have one `joined` in `linked`, each with the smallest of them."""
+def _given(linked: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, int]]:
+    """(a, b): links of the nodes whose rows have one `joined` in `linked`, each with the smallest of them; and n, how many."""
     of = linked.distinct().join(rows.select("key", "digest").distinct(), "key").select("digest", "joined").distinct()
     ends = scratch.keep(of.join(nodes.select("digest", "v"), "digest").select("v", "joined"))
-    first = scratch.keep(ends.groupBy("joined").agg(F.min("v").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return scratch.keep(join_hot(ends, first, "joined", "n", total, F.col("v")).select(F.col("v").alias("a"), "b").where("a != b"))
+    first, of = scratch.told(ends.groupBy("joined").agg(F.min("v").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), total=F.sum("n"))
+    return scratch.told(join_hot(ends, first, "joined", "n", of["total"], F.col("v")).select(F.col("v").alias("a"), "b").where("a != b"), n=F.count(F.lit(1)))
 
 
 def near_duplicates(docs: DataFrame, turns: int = TURNS, linked: DataFrame | None = None) -> DataFrame:
@@ -200,12 +198,12 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS, linked: DataFrame | Non
     with Scratch(docs.sparkSession) as scratch:
         nodes = rows.groupBy("digest").agg(F.min("key").alias("key"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("times"))
         # Numbers are given once, as the rows are written.
-        nodes = scratch.keep(nodes.withColumn("v", F.monotonically_increasing_id()))
+        nodes, of = scratch.told(nodes.withColumn("v", F.monotonically_increasing_id()), n=F.count(F.lit(1)), rows=F.sum("times"))
         dealt = nodes.select("v", "size", F.explode("bands").alias("cell"))
         shared = scratch.keep(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        members = join_hot(dealt, shared, "cell", "n", nodes.count() * BANDS, F.col("v"))
+        members = join_hot(dealt, shared, "cell", "n", of["n"] * BANDS, F.col("v"))
         members = scratch.keep(members.select("cell", "v", "size", F.col("v").alias("label")))
-        given = None if linked is None else _given(linked, rows, nodes, scratch)
+        given, links = (None, {}) if linked is None else _given(linked, rows, nodes, scratch)
         wanted = members.select("v") if given is None else members.select("v").union(given.select("a")).union(given.select("b"))
         chosen = wanted.distinct().join(nodes.select("v", "key"), "v")
         texts = docs.select("key", F.coalesce("text", F.lit("")).alias("_text")).join(chosen, "key")
@@ -214,7 +212,7 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS, linked: DataFrame | Non
         edges = [scratch.keep(members.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0))]
         if given is not None:
             counts = scratch.keep(given.groupBy(F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("n")))
-            edges = [scratch.keep(verified(given, sets, counts).select("a", "b"))]
+            edges = [scratch.keep(verified(given, sets, counts, links["n"]).select("a", "b"))]
             labels = edges[0].groupBy(F.col("a").alias("v")).agg(F.min("b").alias("first"))
             members = members.join(labels, "v", "left").select("cell", "v", "size", F.coalesce("first", "label").alias("label"))
             members = scratch.keep(members)
@@ -237,4 +235,4 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS, linked: DataFrame | Non
             last = turn >= turns or n_found * GAIN < n_pairs
         roots = components(reduce(DataFrame.union, edges))
         table = cut(nodes.join(roots, "v", "left").select("digest", F.coalesce("root", "v").alias("root"), "times"))
-    return join_hot(rows.select("doc_id", "key", "digest"), table, "digest", "times", rows.count(), F.col("key")).select("doc_id", "key", "root")
+    return join_hot(rows.select("doc_id", "key", "digest"), table, "digest", "times", of["rows"], F.col("key")).select("doc_id", "key", "root")

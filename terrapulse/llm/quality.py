@@ -180,26 +180,9 @@ def calibrate(scores: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int =
     return float(theta[0]), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """The model of the labels' `quality` column. At most `rows` documents of each class are read, as sparse vectors."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    size = dict(known.groupBy("quality").count().collect())
-    if len(size) < 2:
-        return NO_MODEL
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.where("quality = 0").orderBy(*order).limit(rows).union(known.where("quality = 1").orderBy(*order).limit(rows))
-    # One text of each id, so that the rows are bounded as the ids are; combined before the shuffle.
-    chosen = texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sample = chosen.select("doc_id", "quality", "text")
-
-    def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [vector(parse(t)) for t in part["text"]]
-            yield part[["doc_id", "quality"]].assign(at=[a.tobytes() for a, _ in found], x=[x.tobytes() for _, x in found])
-
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    # Held as packed arrays only: one copy, taken over from Arrow.
-    got = sample.mapInPandas(vectors, f"doc_id {kind}, quality int, at binary, x binary").toArrow().sort_by("doc_id")
+def _fitted(got: pa.Table, size: dict[int, int]) -> Model:
+    """The model of the sample's (doc_id, quality, at, x). `size` has the labels of each class."""
+    got = got.sort_by("doc_id")
     y = got.column("quality").to_numpy().astype(np.float64)
     if len(np.unique(y)) < 2:
         return NO_MODEL
@@ -219,13 +202,44 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     w, bias = fit([at[i] for i in take], [x[i] for i in take], y[take])
     take = np.flatnonzero(held)
     scores = np.array([float((w[at[i]] * x[i]).sum()) + bias for i in take])
-    # The sample's memory goes back to the driver's system before anything else runs.
-    del got, at, x
-    pa.default_memory_pool().release_unused()
     weight = np.where(y[take] == 1, size[1] / (y[take] == 1).sum(), size[0] / (y[take] == 0).sum())
     return Model(w, bias, *calibrate(scores, y[take], weight / weight.sum()))
 
 
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """The model of the labels' `quality` column. At most `rows` documents of each class are read, as sparse vectors.
+
+    The sample meets in one task and never in the driver, which gets the weights.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    size = dict(known.groupBy("quality").count().collect())
+    if len(size) < 2:
+        return NO_MODEL
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = known.where("quality = 0").orderBy(*order).limit(rows).union(known.where("quality = 1").orderBy(*order).limit(rows))
+    # One text of each id, so that the rows are bounded as the ids are; combined before the shuffle.
+    chosen = texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = chosen.select("doc_id", "quality", "text")
+
+    def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [vector(parse(t)) for t in part["text"]]
+            yield part[["doc_id", "quality"]].assign(at=[a.tobytes() for a, _ in found], x=[x.tobytes() for _, x in found])
+
+    def learned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(parts)
+        if got:
+            model = _fitted(pa.Table.from_batches(got), size)
+            yield pa.RecordBatch.from_pylist([{"weights": model.weights.tobytes(), "bias": model.bias, "slope": model.slope, "shift": model.shift}])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    vectors_of = sample.mapInPandas(vectors, f"doc_id {kind}, quality int, at binary, x binary")
+    found = vectors_of.repartition(1).mapInArrow(learned, "weights binary, bias double, slope double, shift double").collect()
+    if not found:
+        return NO_MODEL
+    return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"], found[0]["slope"], found[0]["shift"])
+
+
 RESULT = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, probability double, kept boolean"
 
 

@@ -218,8 +218,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     with Scratch(edges.sparkSession) as scratch:
         steps = []
-        edges = scratch.keep(edges.distinct())
-        while n := edges.count():
+        edges, left = scratch.told(edges.distinct(), n=F.count(F.lit(1)))
+        while n := left["n"]:
             both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             up = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
             up = scratch.keep(up.select(F.col("a").alias("v"), F.least("a", "m").alias("p"), "n"))
@@ -227,15 +227,16 @@ def components(edges: DataFrame) -> DataFrame:
             moved = 1
             while moved:
                 over = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-                up = scratch.keep(up.join(over, "p").select("v", F.col("pp").alias("p"), "n", (F.col("pp") != F.col("p")).alias("moved")))
-                moved = up.where("moved").count()
+                jumped = up.join(over, "p").select("v", F.col("pp").alias("p"), "n", (F.col("pp") != F.col("p")).alias("moved"))
+                up, of = scratch.told(jumped, moved=F.count_if("moved"))
+                moved = of["moved"]
             up = up.drop("moved")
             steps.append(up)
             for end in ("a", "b"):
                 table = up.select(F.col("v").alias(end), F.col("p").alias("_p"), "n")
                 other = "b" if end == "a" else "a"
                 edges = join_hot(edges, table, end, "n", 2 * n, F.col(other)).select(F.col("_p").alias(end), other)
-            edges = scratch.keep(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            edges, left = scratch.told(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n=F.count(F.lit(1)))
         if not steps:
             return cut(edges.select(F.col("a").alias("v"), F.col("b").alias("root")))
         roots = steps[-1].select("v", F.col("p").alias("root"))

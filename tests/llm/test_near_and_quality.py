@@ -9,11 +9,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from terrapulse.llm import licences, mixing, quality, secrets, simhash
+from terrapulse.llm.common import Scratch
 
 # ---- SimHash ------------------------------------------------------------------------------
 
@@ -185,6 +187,31 @@ def test_held_out_rows(spark):
     assert fair[fair["quality"] == 1]["kept"].mean() > 0.97
 
 
+def test_the_sample_never_meets_in_the_driver(spark, monkeypatch):
+    """Tasks train: the driver neither fits nor collects tables, and gets the model that it would have made."""
+    docs = spark.createDataFrame([(i, f"{'good plain' if i % 2 else 'bad odd'} words number {i} here " * 20) for i in range(24)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, quality int")
+    found = [quality.vector(quality.parse(r["text"])) for r in docs.orderBy("doc_id").collect()]
+    table = {"doc_id": list(range(24)), "quality": [i % 2 for i in range(24)], "at": [a.tobytes() for a, _ in found], "x": [x.tobytes() for _, x in found]}
+    want = quality._fitted(pa.table(table), {0: 12, 1: 12})
+
+    def here(*args, **kwargs):
+        raise AssertionError("in the driver")
+
+    monkeypatch.setattr(quality, "fit", here)
+    monkeypatch.setattr(type(docs), "toArrow", here)
+    got = quality.train(docs, labels)
+    assert (got.weights == want.weights).all() and (got.bias, got.slope, got.shift) == (want.bias, want.slope, want.shift)
+
+
+def test_figures_are_taken_as_tables_are_written(spark):
+    with Scratch(spark) as scratch:
+        kept, told = scratch.told(spark.range(10).where("id != 3"), n=F.count(F.lit(1)), total=F.sum("id"))
+        assert (kept.count(), told) == (9, {"n": 9, "total": 42})
+        assert scratch.told(kept.where("id < 0").distinct(), n=F.count(F.lit(1)), total=F.sum("id"))[1] == {"n": 0, "total": 0}
+        assert scratch.told(kept.limit(0), n=F.count(F.lit(1)))[1] == {"n": 0}
+
+
 def test_without_labels_the_base_rules_decide(spark, documents, corpus):
     none = spark.createDataFrame([], "doc_id long, quality int")
     one = spark.createDataFrame([(10, 1), (11, 1), (None, 0), (12, None)], "doc_id long, quality int")
