@@ -10,8 +10,8 @@ of several groups compares those outside its largest group with one node of it,
 centre, another one each time. What is found joins groups by their labels only: a
 label is a node that the group is joined with, so equal labels are never wrong, and
 no components are computed before the end. What is outside after the turns meets
-the nodes of other groups in its cells, unless too few of its shingles are in any
-other node or the sizes alone exclude the pair.
+the nodes of other groups with which it shares one of its rarest shingles, early
+enough in the order of rarity to be similar at all.
 
 Defined results: words are compared in lower case (ASCII); a text of less than five
 words is one shingle, and all texts without words are equal. Rows with equal
@@ -26,7 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapulse.llm.common import Scratch, cut, join_hot, mixed
@@ -40,7 +40,7 @@ ROWS = 6
 #: Turns in which cells compare with their centres, at most; the turns end when fewer than 1 of GAIN comparisons finds a link.
 TURNS = 8
 GAIN = 10
-#: Members of a cell that one part holds when outsiders meet them.
+#: Nodes of either side that one part holds when the smaller and the larger sets with a rare shingle meet.
 PART = 256
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 1 << 15
@@ -152,33 +152,73 @@ def _relabelled(inside: DataFrame, found: DataFrame, total: int, scratch: Scratc
     return scratch.keep(moved.select("cell", "v", "size", F.col("after").alias("label")))
 
 
-def _open(inside: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of `inside` that can still be in a link: the main groups, and those outside them that share enough of their shingles.
+def _rare(inside: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(shingle, place, v, size, label, outside): the rarest fifth of each node's shingles and one more, numbered by rarity, without those no other node has.
 
-    Similar sets share at least 0.8 of either one, so a node of whose shingles more
-    than a fifth is in no other node of all these cells has no partner. Shingles
-    that many nodes hold are combined before the shuffle; nothing is gathered.
+    Similar sets share at least 0.8 of either one, so they share one of these. A
+    node of whose shingles more than a fifth is in no other node has no partner and
+    leaves before its shingles are moved.
     """
-    held = inside.select("v").distinct().join(sets, "v").select("v", F.explode("shingles").alias("shingle"))
-    alone = held.groupBy("shingle").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v = w")
-    alone = alone.groupBy("v").agg(F.count(F.lit(1)).alias("alone"))
     up, down = SIMILAR
-    lonely = scratch.keep(alone.join(inside.select("v", "size").distinct(), "v").where((F.col("size") - F.col("alone")) * down < F.col("size") * up).select("v"))
-    return inside.where("label = main").unionByName(inside.where("label != main").join(lonely, "v", "left_anti"))
-
-
-def _rest(inside: DataFrame) -> DataFrame:
-    """Pairs of those outside each cell's main group with all members of other groups."""
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    dealt = inside.select("cell", "v", "label", "size", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"))
-    outside = inside.where("label != main").select(
-        "cell", F.col("v").alias("v2"), F.col("label").alias("label2"), F.col("size").alias("size2"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-    )
-    both = dealt.join(outside, ["cell", "part"]).where((F.col("label") != F.col("label2")) & _fits("size", "size2"))
-    return both.select(
-        F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b"),
-        F.when(F.col("v") < F.col("v2"), F.col("label")).otherwise(F.col("label2")).alias("la"), F.when(F.col("v") < F.col("v2"), F.col("label2")).otherwise(F.col("label")).alias("lb"),
-    )
+    nodes = inside.groupBy("v").agg(F.any_value("size").alias("size"), F.any_value("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("outside"))
+    nodes = scratch.keep(nodes.join(sets, "v"))
+    times = nodes.select("v", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    times = scratch.keep(times)
+    alone = times.where("n = 1").groupBy("v").agg(F.count(F.lit(1)).alias("alone"))
+    rest = nodes.join(alone, "v", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where((F.col("size") - F.col("alone")) * down >= F.col("size") * up)
+    held = rest.select("v", "size", "label", "outside", "alone", F.explode("shingles").alias("shingle"))
+    shared, of = scratch.told(times.where("n > 1").select("shingle", "n"), total=F.sum("n"))
+    held = join_hot(held, shared, "shingle", "n", of["total"], F.col("v"))
+    place = F.col("alone") + F.row_number().over(Window.partitionBy("v").orderBy("n", "shingle"))
+    ranked = held.withColumn("place", place).where((F.col("size") - F.col("place") + 1) * down >= F.col("size") * up)
+    return ranked.select("shingle", "place", "v", "size", "label", "outside")
+
+
+def _class(size: Column) -> Column:
+    """Sizes within about 3 percent are one class."""
+    return F.floor(F.log(size) * 32).cast("int")
+
+
+def _rest(inside: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of those outside a cell's main group with nodes of other groups, without those whose rarest shingles show that they are not similar.
+
+    Take shingles in order of rarity, the same one for all nodes. At the first one
+    that two sets share, both must have enough of them left to be similar. So the
+    smaller set is known by its first ninth, the larger one by as many as the
+    other's size allows, and sizes meet by class. What very many have in common (a
+    line, the text that copies are made from) comes last in the order. Crowded
+    meetings are dealt over parts on both sides.
+    """
+    up, down = SIMILAR
+    rare = scratch.keep(_rare(inside, sets, scratch))
+    left = F.col("size") - F.col("place") + 1
+    small = rare.where(left * (up + down) >= F.col("size") * (2 * up)).withColumn("class", _class(F.col("size")))
+    low = F.ceil(F.col("size") * up / down).cast("int")
+    high = F.least(F.col("size"), F.floor((left * (up + down)) / up - F.col("size")).cast("int"))
+    large = rare.withColumn("low", low).withColumn("high", high).where("low <= high")
+    large = large.withColumn("class", F.explode(F.sequence(_class(F.col("low")), _class(F.col("high"))))).drop("low", "high")
+
+    def count(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias(name))
+
+    met = count(small, "smaller").join(count(large, "larger"), ["shingle", "class"])
+    parts = [F.ceil(F.col(name) / PART).cast("int").alias(name) for name in ("smaller", "larger")]
+    crowded = scratch.keep(met.where((F.col("smaller") > PART) | (F.col("larger") > PART)).select("shingle", "class", *parts))
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.join(crowded, ["shingle", "class"], "left")
+        rows = rows.withColumn(f"{own}_part", F.pmod(F.xxhash64("v"), F.coalesce(own, F.lit(1))).cast("int"))
+        rows = rows.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        return rows.drop("smaller", "larger")
+
+    names = ("v", "label", "size", "place", "outside")
+    first = dealt(small, "smaller", "larger")
+    second = dealt(large, "larger", "smaller").withColumnsRenamed({name: f"{name}2" for name in names})
+    order = F.struct("size", "v") < F.struct("size2", "v2")
+    enough = F.least(left, F.col("size2") - F.col("place2") + 1) * (up + down) >= (F.col("size") + F.col("size2")) * up
+    both = first.join(second, ["shingle", "class", "smaller_part", "larger_part"])
+    both = both.where(order & (F.col("label") != F.col("label2")) & (F.col("outside") | F.col("outside2")) & _fits("size", "size2") & enough)
+    return both.select(F.col("v").alias("a"), F.col("v2").alias("b"), F.col("label").alias("la"), F.col("label2").alias("lb"))
 
 
 def _given(linked: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, int]]:
@@ -225,7 +265,7 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS, linked: DataFrame | Non
                 pairs = inside.where((F.col("label") != F.col("main")) & _fits("size", "size2"))
                 pairs = pairs.select(F.col("v").alias("a"), F.col("centre").alias("b"), F.col("label").alias("la"), F.col("main").alias("lb"))
             else:
-                pairs = _rest(scratch.keep(_open(inside, sets, scratch)))
+                pairs = _rest(inside, sets, scratch)
             found, n_found, n_pairs = _compared(pairs, sets, scratch)
             edges.append(found.select("a", "b"))
             if last:

@@ -153,6 +153,26 @@ def test_near_dedup_of_a_crowded_cell(spark, monkeypatch, turns, part):
     assert 2 < len(want) < 40 and sorted(map(sorted, groups.values())) == want
 
 
+def test_near_dedup_does_not_pair_the_copies_of_one_text(spark, monkeypatch):
+    """Copies with edits of their own that are too far apart meet by what is rare in them, not each with each; what is similar among them is found."""
+    compared, made = near._compared, []
+    monkeypatch.setattr(near, "_compared", lambda *a: made.append(compared(*a)) or made[-1])
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for k in range(150):
+        edits = {rng.randint(a, a + 25) for a in (6, 36, 66)}
+        texts.append([f"x{k}_{i}" if i in edits else w for i, w in enumerate(base)])
+    texts += [[*texts[k], "tail"] for k in range(0, 150, 12)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    groups: dict = {}
+    for r in near.near_duplicates(docs.withColumn("key", F.col("doc_id").cast("string")), 1).collect():
+        groups.setdefault(r["root"], []).append(r["doc_id"])
+    want = components([{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts])
+    assert len(want) == 150 and sorted(map(sorted, groups.values())) == want
+    assert len(made) == 2 and made[-1][2] < 2 * len(texts)
+
+
 def test_near_dedup_takes_few_jobs(spark):
     """Their number does not depend on the rows, and what the driver keeps of them stays small."""
     rng = random.Random(7)
